@@ -169,3 +169,37 @@ def delete(spark: SparkSession, path: str) -> None:
     """Removes a folder that this run wrote to the shared folder."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Stands for a missing doc_id inside an operator; it sorts first, as null does in Spark.
+NO_ID = -(2**63)
+
+
+def ids_of(arr: pa.Array) -> np.ndarray:
+    return pc.fill_null(arr.cast(pa.int64()), NO_ID).to_numpy(zero_copy_only=False)
+
+
+def ids_back(ids) -> pa.Array:
+    a = np.asarray(ids, dtype=np.int64)
+    return pa.array(a, type=pa.int64(), mask=a == NO_ID)
+
+
+def range_bounds(docs: DataFrame, id_col: str, text_col: str, mb: float) -> list[int]:
+    """Ascending ids that cut ``docs`` into ranges of about ``mb`` MB of text.
+
+    One pass counts the bytes and sketches the ids' quantiles (1,000 points at most reach
+    the driver, however large the table); between the points ids are cut evenly.
+    """
+    from pyspark.sql import functions as F
+
+    at = [i / 1000 for i in range(1001)]
+    row = docs.agg(
+        F.sum(F.octet_length(text_col)).alias("b"),
+        F.percentile_approx(F.col(id_col), at, 4000).alias("q"),
+    ).first()
+    n = max(1, -(-int(row["b"] or 0) // int(mb * 1e6)))
+    if n == 1 or not row["q"]:
+        return []
+    q = np.array(row["q"], dtype=np.float64)
+    cuts = np.interp(np.arange(1, n) / n, at, q)
+    return np.unique(np.floor(cuts).astype(np.int64)).tolist()
