@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import os
+import sys
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +18,9 @@ TABLES = (
 
 def local_session(cpus: int | None = None, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session with UTC time and adaptive execution on."""
+    root = str(Path(__file__).resolve().parent.parent)
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [root, os.environ.get("PYTHONPATH")]))
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -35,3 +42,21 @@ def local_session(cpus: int | None = None, shuffle_partitions: int = 8, **conf:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; a file or a folder of files."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application that lacks it on its path."""
+    root = Path(__file__).resolve().parent.parent
+    app = spark.sparkContext.applicationId
+    if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    name = Path(tempfile.mkdtemp()) / "driftmap.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted((root / "driftmap").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(str(name))
+    sys.path[:] = [x for x in sys.path if x != str(name)]
+    _shipped.add(app)
