@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^\sa-z0-9à-öø-ÿ]+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 _SPLIT = re.compile(r"[ \t\n\r\f\v]+")
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
