@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tokenfile
+from . import bytebpe, pii, quality, tokenfile
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,23 @@ def op2_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(_docs(spark, sf_dir).select("doc_id", "text"), vocabulary("word_bpe_49k.json"), 2)
 
 
+def op3_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of whole texts, and their decoding."""
+    import public_tokenizers
+
+    return bytebpe.encode_decode(_docs(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in whole texts."""
+    return pii.scan(_docs(spark, sf_dir))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word rules and compression bands over whole texts."""
+    return quality.rules(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
