@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, pii, quality, tokenfile
+from . import bytebpe, neardup, pii, quality, tokenfile
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(_docs(spark, sf_dir))
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components on 4-word shingles."""
+    return neardup.near_duplicates(_docs(spark, sf_dir), words=4, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
