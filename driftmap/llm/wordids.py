@@ -1,97 +1,79 @@
 """Token ids of whole texts, with the tokenizers library asked once for each new word.
 
 The vocabulary drops white space before its merges, so a text's ids are the ids of its
-space-separated words in order. Words are kept with their ids in a bounded table; new
-words go to the library, those of plain Latin-1 letters piece by piece (the pre-tokenizer's
-own pattern), all others as they are.
+space-separated words in order. Words are kept with their ids in a bounded table. A new word
+of plain Latin-1 letters is the ids of its pieces (the pre-tokenizer's own pattern), kept in
+a second table; new pieces go to the library's merges, all other words to the whole library.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
 
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-_SPLIT = re.compile(r"[ \t\n\r\f\v]+")
+#: How byte-level vocabularies write the bytes that don't print.
+_BYTE_LEVEL = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+#: Python splits at these, the tokenizer doesn't.
+_NOT_SPACE = "\x1c\x1d\x1e\x1f"
+assert sys.byteorder == "little" and array("I").itemsize == 4
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
+class _Table(dict):
+    """A bounded table that makes what it lacks; when full it starts anew, so it never changes a result."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) < 100:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class WordEncoder:
     """``ids(text)`` gives little-endian uint32 ids, as ``Tokenizer.encode`` does without special tokens."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.size = self.tok.get_vocab_size(True)
-        self.most = most
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.ends = np.zeros(self.size, dtype=bool)
-        for token, i in self.tok.get_vocab(False).items():
-            self.ends[i] = token.endswith("</w>")
+        self.words = _Table(self._word, most)
+        self.parts = _Table(self._piece, most)
+        self.model = self.tok.model
         # word-wise encoding holds for this family only: the library's own way serves any other file
         config = self.tok.to_str()
         self.by_word = '"end_of_word_suffix":"</w>"' in config and r"[^\\s\\p{L}\\p{N}]+" in config and '"Lowercase"' in config
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.words) > self.most:
-            self.words.clear()
-        if len(self.parts) > self.most:
-            self.parts.clear()
-        split: dict[str, list[str]] = {}
-        parts = self.parts
-        new: dict[str, None] = {}
-        for w in words:
-            if _PLAIN.match(w) and "<|" not in w and len(w) < 200:
-                split[w] = p = _PIECES.findall(w.lower())
-                new.update((x, None) for x in p if x not in parts)
-            else:
-                self.words[w] = self._whole(w)
-        pieces = list(new)
-        for i in range(0, len(pieces), 2000):
-            self._learn_parts(pieces[i : i + 2000])
-        for w, p in split.items():
-            self.words[w] = b"".join([parts[x] for x in p])
-
-    def _learn_parts(self, pieces: list[str]) -> None:
-        ids = np.array(self.tok.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) == len(pieces):
-            raw, a = ids.tobytes(), 0
-            for x, e in zip(pieces, (ends * 4).tolist()):
-                self.parts[x] = raw[a:e]
-                a = e
-        else:
-            for x in pieces:
-                self.parts[x] = self._whole(x)
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """One piece by the library's merges alone; what comes before them is done."""
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if _PLAIN.match(word) and "<|" not in word:
+            return b"".join(map(self.parts.__getitem__, _PIECES.findall(word.lower())))
+        return self._whole(word)
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.by_word:
+        if not self.by_word or any(c in text for c in _NOT_SPACE):
             return self._whole(text)
-        words = _SPLIT.split(text)
-        known = self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            new = list({w for w in words if w not in known})
-            if len(new) > self.most:  # a text with more words than the table may hold
-                return b"".join(self.ids(" ".join(words[i : i + 10_000])) for i in range(0, len(words), 10_000))
-            self._learn(new)
-            known = self.words
-            if all(map(known.__contains__, words)):
-                return b"".join(map(known.__getitem__, words))
-            self._learn(list(set(words)))  # the table was emptied on the way
-            return b"".join(map(self.words.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 def encoder(path: str) -> WordEncoder:
