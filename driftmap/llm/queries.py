@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, neardup, pii, quality, suffix, tokenfile
+from . import bytebpe, neardup, packing, pii, quality, suffix, tokenfile
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 ids along walks over related ones."""
+    return packing.pack(_docs(spark, sf_dir), vocabulary("word_bpe_49k.json"), 2, 4096)
+
+
 def op2_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids in byte-plane files, written and read back."""
     return tokenfile.write_and_read(_docs(spark, sf_dir).select("doc_id", "text"), vocabulary("word_bpe_49k.json"), 2)
