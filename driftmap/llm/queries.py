@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, neardup, packing, pii, quality, suffix, tokenfile
+from . import bytebpe, fingerprint, neardup, packing, pii, quality, suffix, tokenfile
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_docs(spark, sf_dir))
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k fingerprints of whole texts and of their edited texts."""
+    return fingerprint.fingerprints(_docs(spark, sf_dir))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word rules and compression bands over whole texts."""
     return quality.rules(_docs(spark, sf_dir))
