@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, fingerprint, neardup, packing, pii, quality, suffix, tokenfile
+from . import bytebpe, fingerprint, langid, neardup, packing, pii, quality, suffix, tokenfile
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,11 @@ def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(_docs(spark, sf_dir), length=100)
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of whole texts by character models."""
+    return langid.identify(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
