@@ -16,9 +16,10 @@ on a synchronising sample, which loses no match:
   position), the context being all the bytes that the anchor's strings reach. An anchor
   whose seed name is unique is done: none of its strings occurs again. An anchor that is not
   the first of its context has only repeated strings. What is left, the first of each of
-  several contexts of one seed (the ends of a repeated passage), is ranked once more: the
-  names of its single strings of ``length`` bytes are brought together and sorted by
-  position, and all but the first of a name are repeats.
+  several contexts of one seed (the ends of a repeated passage), is ranked once more: its
+  context goes to the place of its seed, where the single strings of ``length`` bytes are
+  named and sorted by position, and all but the first of a name are repeats. A seed with
+  more than ``CONTEXTS`` contexts has its strings ranked by a shuffle of their own instead.
 
 Copies within a task are merged before the shuffle, so a passage that a third of all
 documents share sends one row for each task and anchor. Names have 64 bits for the seed and 64
@@ -37,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,8 @@ from ._common import BYTE, BYTE2, U, flat, ids_back, ids_of, materialize, mix, p
 
 #: Bytes of text that a task looks at in one go; copies are merged within a group of GROUP such pieces.
 PIECE, GROUP = 1 << 17, 192
+#: Contexts of one seed that a task compares in memory.
+CONTEXTS = 4096
 
 
 def doubled_names(data: np.ndarray, seed: int) -> np.ndarray:
@@ -118,15 +122,22 @@ def _spans(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return doc[i], lo[i], np.maximum.reduceat(hi, i)
 
 
-_ROW = "kind byte, seed long, context long, doc_id long, at long, lo int, hi int"
-_NAMES = ["kind", "seed", "context", "doc_id", "at", "lo", "hi"]
+#: Between tasks. kind 0: an anchor (place: its position, first and last start before it, packed); kind 1: a repeated span (place, context: lo, hi).
+_ANCHOR, _ANCHOR_NAMES = "kind byte, seed long, context long, doc_id long, place long", ["kind", "seed", "context", "doc_id", "place"]
+#: kind 1: a repeated span; kind 2: an anchor whose strings, starting at lo to hi, are open; kind 3: a string at lo, named seed and hi.
+_FOUND, _FOUND_NAMES = "kind byte, seed long, doc_id long, lo long, hi long", ["kind", "seed", "doc_id", "lo", "hi"]
 
 
-def _batch(kind: int, seed, context, doc, at, lo, hi) -> pa.RecordBatch:
-    n = len(doc)
-    fill = lambda x: np.zeros(n, np.int64) if x is None else x.view(np.int64)
-    cols = [pa.array(np.full(n, kind, np.int8)), pa.array(fill(seed)), pa.array(fill(context)), pa.array(doc), pa.array(fill(at)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(cols, _NAMES)
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64, copy=False))
+
+
+def _batch(kind: int, names: list[str], *cols: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int8)), *map(_long, cols)], names)
+
+
+def _found(kind: int, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, seed: np.ndarray | None = None) -> pa.RecordBatch:
+    return _batch(kind, _FOUND_NAMES, np.zeros(len(doc), np.int64) if seed is None else seed, doc, lo, hi)
 
 
 def _by_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -138,14 +149,16 @@ def _by_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
 
 
 def _contexts(length: int, seed: int):
-    """For each task: kind 0, an anchor (at: its position; lo, hi: its strings' first and last start before it); kind 1, a repeated span."""
+    """Texts to anchors, those of one context in one group merged."""
 
     def combined(part: list[tuple]) -> Iterator[pa.RecordBatch]:
         s, c, d, at, lo, hi = (np.concatenate(x) for x in zip(*part))
         first, rest = _first_of(s, c, d, at)
-        yield _batch(0, s[first], c[first], d[first], at[first], at[first] - lo[first], at[first] - hi[first])
+        place = (at[first] << 16) | ((at[first] - lo[first]) << 8) | (at[first] - hi[first])
+        yield _batch(0, _ANCHOR_NAMES, s[first], c[first], d[first], place)
         if len(rest):
-            yield _batch(1, None, None, *(lambda x: (x[0], None, x[1], x[2]))(_spans(d[rest], lo[rest], hi[rest] + length)))
+            doc, lo, hi = _spans(d[rest], lo[rest], hi[rest] + length)
+            yield _batch(1, _ANCHOR_NAMES, mix(doc.view(np.uint64)), hi, doc, lo)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part: list[tuple] = []
@@ -165,90 +178,133 @@ def _contexts(length: int, seed: int):
     return run
 
 
-def _with_head(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-    """Sorted rows, each batch led by the head (first row) of the name that was open, with their marks; the first batch has none."""
+def _with_head(batches: Iterator[list[np.ndarray]]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Sorted rows (two names, doc_id, place), each batch led by the head (first row) of the name that was open, with their marks; the first batch has none."""
     head: list[np.ndarray] = []
-    for b in batches:
-        if not b.num_rows:
+    for cols in batches:
+        if not len(cols[0]):
             continue
-        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
         if head:
             cols = [np.concatenate(x) for x in zip(head, cols)]
-        new, again = _marks(*cols[:4])
+        new, again = _marks(*cols)
         yield cols, new, again
         i = int(np.flatnonzero(new)[-1])
         head = [c[i : i + 1] for c in cols]
 
 
+def _columns(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
+
+
 def _ranked(length: int):
-    """Sorted anchors to: kind 1, spans of anchors that are not first of their context; kind 2, anchors to rank by single strings."""
+    """Rows sorted by kind, names and place to: kind 1, spans of anchors that are not first of their context, and the spans known before; kind 2, open anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: list[pa.RecordBatch] = []
+
+        def anchors_only() -> Iterator[list[np.ndarray]]:
+            for b in batches:
+                kind, *cols = _columns(b)
+                n = int(np.searchsorted(kind, 1))
+                if n < len(kind):
+                    _, hi, doc, lo = (c[n:] for c in cols)
+                    known.append(_found(1, doc, lo, hi))
+                yield [c[:n] for c in cols]
+
         several = False  # the open seed has had more than one context, so its head has been sent
-        for (s, _, d, at, lo, hi), new, again in _with_head(batches):
+        for (s, _, d, place), new, again in _with_head(anchors_only()):
+            at, lo, hi = place >> 16, (place >> 8) & 255, place & 255
+            lo, hi = at - lo, at - hi
             seed = np.ones(len(s), dtype=bool)
             seed[1:] = s[1:] != s[:-1]
             group = np.cumsum(seed) - 1
             contexts = np.bincount(group, weights=new) + (several * (np.arange(group[-1] + 1) == 0))
             if again.any():
-                yield _batch(1, None, None, d[again], None, at[again] - lo[again], at[again] - hi[again] + length)
+                yield _found(1, d[again], lo[again], hi[again] + length)
             open_ = new & (contexts[group] > 1)
             open_[0] &= not several
             if open_.any():
-                yield _batch(2, None, None, d[open_], at[open_], at[open_] - lo[open_], at[open_] - hi[open_])
+                yield _found(2, d[open_], lo[open_], hi[open_], s[open_])
             several = bool(contexts[-1] > 1)
+            yield from known
+            known.clear()
+        yield from known
 
     return run
 
 
-def _strings(length: int):
-    """Documents with their open intervals of starts to one row for each start: two names of the string, doc_id, at."""
+def _context_bytes(length: int):
+    """Packed documents with their open anchors to one row for each: seed, doc_id, lo and the context's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unzip = zstandard.ZstdDecompressor()
         for b in batches:
-            for doc, packed, los, his in zip(ids_of(b.column(0)).tolist(), b.column(1), b.column(2), b.column(3)):
-                data = np.frombuffer(unzip.decompress(packed.as_buffer()), dtype=np.uint8)
-                lo, hi = los.values.to_numpy().astype(np.int64), his.values.to_numpy().astype(np.int64)
-                mark = np.zeros(len(data) + 2, dtype=np.int64)
-                fits = hi + length <= len(data)
-                np.add.at(mark, lo[fits], 1)
-                np.add.at(mark, hi[fits] + 1, -1)
-                at = np.flatnonzero(np.cumsum(mark) > 0)
-                one = mix(span_hash(prefix_hash(data, BYTE), at, at + length))
-                two = mix(span_hash(prefix_hash(data, BYTE2), at, at + length))
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(len(at), doc)), pa.array(at)], ["one", "two", "doc_id", "at"])
+            for doc, packed, seeds, los, his in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), b.column(4)):
+                raw = unzip.decompress(packed.as_buffer())
+                seed, lo, hi = (x.values.to_numpy() for x in (seeds, los, his))
+                ok = hi + length <= len(raw)
+                seed, lo, hi = seed[ok], lo[ok], hi[ok] + length
+                for i in range(0, len(lo), 50_000):
+                    part = slice(i, i + 50_000)
+                    texts = [raw[x:y] for x, y in zip(lo[part].tolist(), hi[part].tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(seed[part]), pa.array(np.full(len(texts), doc)), pa.array(lo[part]), pa.array(texts, pa.binary())], ["seed", "doc_id", "lo", "context"])
 
     return run
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], rows: int = 1 << 20) -> Iterator[pa.Table]:
-    held, n = [], 0
+def _by_seed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
+    """Rows sorted by seed, cut between two seeds; a seed with more than CONTEXTS rows comes in parts, marked so."""
+    held: list[pa.RecordBatch] = []
+    large: int | None = None
     for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
+        for i in range(0, b.num_rows, CONTEXTS):
+            part = b.slice(i, CONTEXTS)
+            seed = part.column(0).to_numpy()
+            if large is not None:
+                n = int(np.searchsorted(seed, large, "right"))
+                if n:
+                    yield pa.Table.from_batches([part.slice(0, n)]), True
+                if n == len(seed):
+                    continue
+                part, seed, large = part.slice(n), seed[n:], None
+            cut = int(np.searchsorted(seed, seed[-1], "left"))
+            if cut:
+                yield pa.Table.from_batches([*held, part.slice(0, cut)]), False
+                held = []
+            held.append(part.slice(cut))
+            if sum(x.num_rows for x in held) > CONTEXTS:
+                large = int(seed[-1])
+                yield pa.Table.from_batches(held), True
+                held = []
     if held:
-        yield pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held), False
 
 
-def _merged_strings(length: int):
-    """Drops, within a task, strings that are repeats of one in the same task: they become spans at once (kind 1); the others are kind 0."""
-    inner = _strings(length)
+def _resolved(length: int):
+    """Contexts of the same seeds to kind 1, spans of repeated strings; kind 3, the strings of seeds with too many contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(inner(batches)):
-            one, two, doc, at = (t.column(k).to_numpy() for k in range(4))
-            first, rest = _first_of(one, two, doc, at)
-            z = np.zeros(len(first), np.int64)
-            yield _batch(0, one[first], two[first], doc[first], at[first], z, z)
+        for t, large in _by_seed(batches):
+            t = t.combine_chunks()
+            doc, lo = t["doc_id"].to_numpy(), t["lo"].to_numpy()
+            size = pc.binary_length(t["context"]).to_numpy().astype(np.int64)
+            data = np.frombuffer(b"".join(t["context"].to_pylist()), dtype=np.uint8)
+            off = np.concatenate([[0], np.cumsum(size)])
+            count = size - length + 1
+            row = np.repeat(np.arange(len(size)), count)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            begin = off[row] + step
+            one = mix(span_hash(prefix_hash(data, BYTE), begin, begin + length))
+            two = mix(span_hash(prefix_hash(data, BYTE2), begin, begin + length))
+            doc, at = doc[row], lo[row] + step
+            if large:
+                yield _found(3, doc, at, two, one)
+                continue
+            _, rest = _first_of(one, two, doc, at)
             if len(rest):
-                d, lo, hi = _spans(doc[rest], at[rest], at[rest] + length)
-                yield _batch(1, None, None, d, None, lo, hi)
+                yield _found(1, *_spans(doc[rest], at[rest], at[rest] + length))
 
     return run
 
@@ -257,10 +313,9 @@ def _repeats(length: int):
     """Sorted strings to the spans of all but the first of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, d, at), _, again in _with_head(batches):
+        for (_, _, d, at), _, again in _with_head(map(_columns, batches)):
             if again.any():
-                doc, lo, hi = _spans(d[again], at[again], at[again] + length)
-                yield _batch(1, None, None, doc, None, lo, hi)
+                yield _found(1, *_spans(d[again], at[again], at[again] + length))
 
     return run
 
@@ -283,17 +338,21 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary")
 
 
-def repeated_spans(docs: DataFrame, packed: DataFrame, length: int, seed: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int, seed: int) -> DataFrame:
     """doc_id, lo, hi of spans whose union is what to remove; docs: doc_id, text."""
-    columns = ["seed", "context", "doc_id", "at", "lo", "hi"]
-    found = materialize(docs.mapInArrow(_contexts(length, seed), _ROW), "anchors")
-    sent = found.where("kind = 0").select(*columns).repartition("seed").sortWithinPartitions("seed", "context", "doc_id", "at")
-    ranked = materialize(sent.mapInArrow(_ranked(length), _ROW), "ranked")
-    open_ = ranked.where("kind = 2").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("s")).select("doc_id", F.col("s.lo").alias("los"), F.col("s.hi").alias("his"))
-    strings = materialize(packed.join(open_, "doc_id").select("doc_id", "packed", "los", "his").mapInArrow(_merged_strings(length), _ROW), "strings")
-    names = strings.where("kind = 0").select("seed", "context", "doc_id", "at").repartition("seed").sortWithinPartitions("seed", "context", "doc_id", "at")
-    parts = [x.where("kind = 1").select("doc_id", "lo", "hi") for x in (found, ranked, strings, names.mapInArrow(_repeats(length), _ROW))]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+    if length - seed > 255:
+        raise ValueError("a seed must be at most 255 bytes shorter than length")
+    sent = docs.mapInArrow(_contexts(length, seed), _ANCHOR).repartition("seed").sortWithinPartitions("kind", "seed", "context", "doc_id", "place")
+    ranked = materialize(sent.mapInArrow(_ranked(length), _FOUND), "ranked")
+    open_ = ranked.where("kind = 2").groupBy("doc_id").agg(F.collect_list(F.struct("seed", "lo", "hi")).alias("s")).select("doc_id", *(F.col(f"s.{c}").alias(f"{c}s") for c in ("seed", "lo", "hi")))
+    contexts = _packed(docs).join(open_, "doc_id").select("doc_id", "packed", "seeds", "los", "his").mapInArrow(_context_bytes(length), "seed long, doc_id long, lo long, context binary")
+    resolved = materialize(contexts.repartition("seed").sortWithinPartitions("seed", "doc_id", "lo").mapInArrow(_resolved(length), _FOUND), "resolved")
+    spans = ranked.where("kind = 1").select("doc_id", "lo", "hi").unionAll(resolved.where("kind = 1").select("doc_id", "lo", "hi"))
+    large = resolved.where("kind = 3")
+    if large.isEmpty():
+        return spans
+    names = large.select("seed", "hi", "doc_id", "lo").repartition("seed", "hi").sortWithinPartitions("seed", "hi", "doc_id", "lo")
+    return spans.unionAll(names.mapInArrow(_repeats(length), _FOUND).select("doc_id", "lo", "hi"))
 
 
 def _cut(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -307,10 +366,9 @@ def _cut(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 def _with_spans(docs: DataFrame, length: int, seed: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = materialize(_packed(docs), "packed")
-    spans = repeated_spans(docs, packed, length, seed)
+    spans = repeated_spans(docs, length, seed)
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("s")).select("doc_id", F.col("s.lo").alias("los"), F.col("s.hi").alias("his"))
-    return packed.join(spans, "doc_id", "left").select("doc_id", "packed", "los", "his")
+    return _packed(docs).join(spans, "doc_id", "left").select("doc_id", "packed", "los", "his")
 
 
 def _each(b: pa.RecordBatch, unzip) -> Iterator[tuple[bytes, np.ndarray]]:
