@@ -27,7 +27,7 @@ _CODECS: dict[tuple[str, str], "BytePairCodec"] = {}
 class BytePairCodec:
     """Encodes and decodes by a rank file; ``pattern`` cuts a text into the pieces that are encoded alone."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 500_000):
         import ahocorasick
         import regex
 
