@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BYTE, BYTE2, U, flat, ids_back, ids_of, materialize, mix, pieces, prefix_hash, span_hash
+from ._common import BYTE, BYTE2, NO_ID, U, flat, ids_back, ids_of, materialize, mix, pieces, prefix_hash, span_hash
 
 #: Bytes of text that a task looks at in one go; copies are merged within a group of GROUP such pieces.
 PIECE, GROUP = 1 << 17, 192
@@ -401,24 +401,45 @@ def dedup(docs: DataFrame, length: int = 100, seed: int = 32) -> DataFrame:
     return _with_spans(docs, length, seed).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def kept_texts(docs: DataFrame, length: int = 100, seed: int = 32) -> DataFrame:
-    """doc_id and the text that is left. A character goes only with all its bytes: one that a span cuts stays."""
+def _kept_text(raw: bytes, gone: np.ndarray) -> str:
+    """What is left of a text, whole characters only."""
+    if gone.any():
+        data = np.frombuffer(raw, np.uint8)
+        char = np.cumsum((data & 0xC0) != 0x80) - 1
+        stays = np.zeros(int(char[-1]) + 1, dtype=bool)
+        stays[char[~gone]] = True
+        raw = data[stays[char]].tobytes()
+    return raw.decode()
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", length: int = 100, seed: int = 32) -> DataFrame:
+    """``docs`` with repeats cut from ``text_col``; a length column, if there is one, follows; null text stays null, all other columns stay.
+
+    Only spans travel by doc_id besides the rows themselves. A character goes only with all
+    its bytes: one that a span cuts stays.
+    """
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    spans = repeated_spans(keyed, length, seed).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("s"))
+    names = docs.columns
+    inner = [f"_{k}" for k in range(len(names))]
+    at = names.index(text_col)
+    sides = docs.toDF(*inner).withColumn("_id", F.coalesce(F.col(inner[names.index(id_col)]).cast("long"), F.lit(NO_ID)))
+    joined = sides.join(spans.select(F.col("doc_id").alias("_id"), F.col("s.lo").alias("_lo"), F.col("s.hi").alias("_hi")), "_id", "left").select(*inner, "_lo", "_hi")
+    long_at = names.index(length_col) if length_col in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unzip = zstandard.ZstdDecompressor()
         for b in batches:
-            texts = []
-            for raw, gone in _each(b, unzip):
-                if gone.any():
-                    data = np.frombuffer(raw, np.uint8)
-                    lead = (data & 0xC0) != 0x80
-                    char = np.cumsum(lead) - 1
-                    stays = np.zeros(int(char[-1]) + 1, dtype=bool)
-                    stays[char[~gone]] = True
-                    raw = data[stays[char]].tobytes()
-                texts.append(raw.decode())
-            yield pa.RecordBatch.from_arrays([ids_back(ids_of(b.column(0))), pa.array(texts, pa.string())], ["doc_id", "text"])
-
-    return _with_spans(docs, length, seed).mapInArrow(run, "doc_id long, text string")
+            cols = list(b.columns)[:-2]
+            texts, hit = cols[at].to_pylist(), np.zeros(b.num_rows, dtype=bool)
+            for i, (los, his) in enumerate(zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1))):
+                if los.is_valid and texts[i] is not None:
+                    raw = texts[i].encode()
+                    gone = _cut(np.frombuffer(raw, np.uint8), los.values.to_numpy(), his.values.to_numpy())
+                    texts[i], hit[i] = _kept_text(raw, gone), True
+            cols[at] = pa.array(texts, pa.string())
+            if long_at is not None:
+                n = [len(t) if h else old for t, h, old in zip(texts, hit, cols[long_at].to_pylist())]
+                cols[long_at] = pa.array(n, pa.int64()).cast(b.schema.field(long_at).type)
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return joined.mapInArrow(run, docs.schema)
