@@ -207,4 +207,8 @@ def mentions(text: Column) -> Column:
     method = F.regexp_extract_all(text, F.lit(r"([A-Z][A-Za-z0-9_]*::[a-z][A-Za-z0-9_]*)"), 1)
     pascal = F.filter(F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+)\b"), 1), lambda w: F.length(w) > 4)
     kinds = (("path", path), ("fqcn", fqcn), ("method", method), ("class", pascal))
-    return F.array_distinct(F.concat(*[F.transform(c, lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k, c in kinds]))
+
+    def tagged(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    return F.array_distinct(F.concat(*[tagged(k, c) for k, c in kinds]))

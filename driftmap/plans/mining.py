@@ -107,7 +107,7 @@ VOLATILITY_SQL = f"""WITH au AS (SELECT path, author, count(*) AS k FROM work1 G
     s AS (SELECT *, greatest(0.0, least(1.0, (0.35::DOUBLE * churn + 0.3::DOUBLE * bug_density + 0.15::DOUBLE * ownership + 0.2::DOUBLE * recency) * dampener)) AS raw_risk FROM c),
     e AS (SELECT * FROM s WHERE commits >= 5),
     v AS (SELECT *, raw_risk / CASE WHEN ref > 0 THEN ref ELSE 1 END AS scaled FROM s, (SELECT CASE WHEN (SELECT count(*) FROM e) > 0 THEN {floor_pct_sql("e", "raw_risk", 0.95)} ELSE {floor_pct_sql("s", "raw_risk", 0.95)} END AS ref))"""
-_VOL = """SELECT path, commits, CAST(lines_added AS BIGINT) AS lines_added, CAST(lines_deleted AS BIGINT) AS lines_deleted, CAST(epoch(f) AS BIGINT) AS first_s, CAST(epoch(l) AS BIGINT) AS last_s, fix_commits,
+_VOL = """SELECT path, commits, CAST(lines_added AS BIGINT) AS lines_added, CAST(lines_deleted AS BIGINT) AS lines_deleted, CAST(floor(epoch(f)) AS BIGINT) AS first_s, CAST(floor(epoch(l)) AS BIGINT) AS last_s, fix_commits,
     round(bug_fix_density, 6) AS bug_fix_density, round(raw_risk, 6) AS raw_risk, round({score}, 6) AS risk_score FROM v"""
 
 
@@ -133,7 +133,7 @@ def volatility_raw(spark, d):
 @query(
     sql(
         "commits1 touches1 work1",
-        """SELECT path, author, commits, CAST(epoch(l) AS BIGINT) AS last_s, rank FROM (SELECT path, author, count(*) AS commits, max(committed_at) AS l,
+        """SELECT path, author, commits, CAST(floor(epoch(l)) AS BIGINT) AS last_s, rank FROM (SELECT path, author, count(*) AS commits, max(committed_at) AS l,
         row_number() OVER (PARTITION BY path ORDER BY count(*) DESC, max(committed_at) DESC, author) AS rank FROM work1 GROUP BY 1, 2) WHERE rank <= 5""",
     )
 )
@@ -308,7 +308,7 @@ def revert_chains(spark, d):
     n AS (SELECT path, count(DISTINCT commit_id) AS commits FROM t GROUP BY 1),
     r AS (SELECT path, count(*) AS reverts, median(days) AS md, max(ts) AS l FROM links JOIN t ON t.commit_id = target GROUP BY 1),
     c AS (SELECT path, count(DISTINCT root) AS chains FROM walk JOIN t ON t.commit_id = id GROUP BY 1)
-    SELECT path, commits, reverts, round(least(1.0, reverts::DOUBLE / commits), 6) AS density, round(md, 6) AS median_days, coalesce(chains, 0) AS chains, CAST(epoch(l) AS BIGINT) AS last_s
+    SELECT path, commits, reverts, round(least(1.0, reverts::DOUBLE / commits), 6) AS density, round(md, 6) AS median_days, coalesce(chains, 0) AS chains, CAST(floor(epoch(l)) AS BIGINT) AS last_s
     FROM r JOIN n USING (path) LEFT JOIN c USING (path)"""
 )
 def revert_path_stats(spark, d):
