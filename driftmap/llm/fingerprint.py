@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, range_bounds
+from ._common import NO_ID
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACES = "\t\n\x0b\x0c\r"
@@ -87,38 +87,50 @@ def to_text(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, width: int, k: int, mb: float = 24) -> DataFrame:
-    """doc_id, text, a (its sketch), and the text and sketch of the next doc_id (after the last the first).
+def range_part(docs: DataFrame, mb: float) -> tuple[Column, int]:
+    """The range of a doc_id, as an expression, and the number of ranges of about ``mb`` MB of text.
 
-    Documents go once to the range of their doc_id; within it the next one is the next row,
-    and only the first document of each range is looked up by the range before.
+    1,000 quantiles at most reach the driver; ids between two of them are cut evenly, by
+    arithmetic, so the expression does not grow with the number of ranges.
     """
-    bounds = range_bounds(docs, "doc_id", "text", mb)
-    part = bucket(F.col("doc_id"), bounds)
-    ranged = with_sketch(docs.withColumn("part", part).repartitionById(len(bounds) + 1, F.col("part")), "text", "a", width, k)
-    here = Window.partitionBy("part").orderBy("doc_id", "text")
-    ranged = ranged.withColumn("next", F.lead(F.struct("text", "a")).over(here))
-    # one row for each range: its first id, named by the range whose last document comes before it
-    heads = docs.select("doc_id", part.alias("part")).groupBy("part").agg(F.min("doc_id").alias("head"))
-    order = Window.orderBy("part")
-    all_rows = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    follow = heads.select("part", F.coalesce(F.lead("head").over(order), F.first("head").over(all_rows)).alias("head"))
-    first = docs.join(follow, docs["doc_id"] == follow["head"]).groupBy("part").agg(F.min("text").alias("text"))
-    first = with_sketch(first, "text", "a", width, k).select("part", F.struct("text", "a").alias("head"))
-    out = ranged.join(first, "part", "left")
-    return out.select("doc_id", "text", "a", F.coalesce("next", "head").alias("next"))
-
-
-def bucket(value: Column, cuts: list[int]) -> Column:
-    """The number of cuts at or below a value, by halving."""
+    row = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.percentile_approx("doc_id", [i / 1000 for i in range(1001)], 4000).alias("q")).first()
+    n = max(1, -(-int(row["b"] or 0) // int(mb * 1e6)))
+    if n == 1 or not row["q"]:
+        return F.lit(0), 1
+    knots = min(n, 1000)
+    at = [row["q"][round(1000 * i / knots)] for i in range(knots + 1)]
+    each = -(-n // knots)
+    x = F.col("doc_id").cast("double")
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value < F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+            width = max(at[lo + 1] - at[lo], 1)
+            inside = F.greatest(F.lit(0), F.least(F.lit(each - 1), F.floor((x - at[lo]) * each / width)))
+            return F.lit(lo * each) + inside
+        mid = (lo + hi + 1) // 2
+        return F.when(F.col("doc_id") < at[mid], tree(lo, mid - 1)).otherwise(tree(mid, hi))
+
+    return tree(0, knots - 1).cast("int"), knots * each
 
-    return tree(0, len(cuts))
+
+def with_next(docs: DataFrame, width: int, k: int, mb: float = 16) -> DataFrame:
+    """doc_id, text, a (its sketch), and the text and sketch of the next doc_id (after the last the first).
+
+    Documents go once to the range of their doc_id, and a range's first document also to the
+    range before; there the next document is the next row.
+    """
+    part, n = range_part(docs, mb)
+    heads = docs.select("doc_id", part.alias("part")).groupBy("part").agg(F.min("doc_id").alias("head"))
+    # one row for each range, not for each document
+    order = Window.orderBy("part")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.select("head", F.coalesce(F.lag("part").over(order), F.last("part").over(whole)).alias("before"))
+    heads = F.broadcast(heads) if n <= 50_000 else heads
+    own = docs.select(part.alias("part"), F.lit(True).alias("own"), "doc_id", "text")
+    extra = docs.join(heads, docs["doc_id"] == heads["head"]).select(F.col("before").alias("part"), F.lit(False).alias("own"), "doc_id", "text")
+    ranged = with_sketch(own.unionAll(extra).repartitionById(n, F.col("part")), "text", "a", width, k)
+    here = Window.partitionBy("part").orderBy(F.desc("own"), "doc_id", "text")
+    return ranged.withColumn("next", F.lead(F.struct("text", "a")).over(here)).where("own").select("doc_id", "text", "a", "next")
 
 
 def edited(text: Column, next_text: Column) -> Column:
