@@ -43,7 +43,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bottom-k fingerprints of whole texts and of their edited texts."""
-    return fingerprint.fingerprints(_docs(spark, sf_dir))
+    return fingerprint.fingerprints(_docs(spark, sf_dir), width=5, k=256)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
