@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftmap.functions import text
-from driftmap.operators import anchors, benchmark, complexity, graph, plan, retrieval
+from driftmap.operators import anchors, benchmark, cochange, complexity, graph, plan, render, retrieval
 from driftmap.plans.bindings import AS_OF, DOC_EPOCH, commits1, graph as fk_graph, lexical_paths, sql, touches1, touches2
 from driftmap.plans.mining import TOP, VOLATILITY_SQL, matrix2, pairs_sql, risk1
 from driftmap.session import table
+from driftmap.streaming import pairs
 
 QUERIES, ORACLE = {}, {}
 
@@ -653,3 +654,43 @@ def bench_samples(spark, d):
 def bench_aggregate(spark, d):
     a = benchmark.aggregate(_scored(spark, d))
     return a.select("cohort", "samples", *(F.round(c, 6).alias(c) for c in ("mean_precision", "mean_recall", "p50", "p90", "zero_hit_rate")))
+
+
+# --- blocks of text
+
+
+def _targets(spark, d):
+    return touches1(spark, d).where("commit_id % 100 = 3").select(F.col("commit_id").alias("prompt"), "path").distinct()
+
+
+@query()
+def signals_block(spark, d):
+    """What history says of the parts of some orders, as text."""
+    m = cochange.co_change(touches1(spark, d), min_joint=2, min_coupling=0.05, exclude=None)
+    return render.signals_block(_targets(spark, d), risk1(spark, d), m, _reverts(spark, d))
+
+
+@query()
+def worker_pack(spark, d):
+    """Targets, signals and warnings of some plans, as text."""
+    _, issues = _all_issues(spark, d)
+    m = cochange.co_change(touches1(spark, d), min_joint=2, min_coupling=0.05, exclude=None)
+    p = render.worker_pack(_targets(spark, d).withColumnRenamed("prompt", "plan"), issues, risk1(spark, d), m, _reverts(spark, d))
+    return p.select("plan", F.array_join("targets", ",").alias("targets"), "markdown")
+
+
+@query()
+def subgraph_render(spark, d):
+    n = graph.pruned(graph.neighbourhood(fk_graph(spark, d)[1], _centres(spark, d), 2), 12, 8)
+    return render.subgraph_block(n)
+
+
+@query(
+    """SELECT a, b, count(*) AS n FROM (SELECT x.event_type AS a, y.event_type AS b FROM
+    (SELECT DISTINCT time_bucket(INTERVAL 1 HOUR, ts) AS w, user_id, event_type FROM events) x JOIN (SELECT DISTINCT time_bucket(INTERVAL 1 HOUR, ts) AS w, user_id, event_type FROM events) y
+    ON x.w = y.w AND x.user_id = y.user_id AND x.event_type < y.event_type) GROUP BY 1, 2"""
+)
+def basket_pairs(spark, d):
+    """Pairs of event types of one user and hour: the batch form of the streaming operator."""
+    t = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("owner"), F.col("event_type").alias("item"))
+    return pairs.basket_pairs(pairs.closed_baskets(t)).groupBy("a", "b").agg(F.count("*").alias("n"))
