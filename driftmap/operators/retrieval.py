@@ -61,7 +61,7 @@ def corpus_paths(top: DataFrame, touches: DataFrame) -> DataFrame:
     """
     n = touches.groupBy("doc").agg(F.count("*").alias("files"))
     t = top.join(touches, "doc").join(n, "doc").where(~F.col("path").rlike(NOISE_PATH))
-    p = t.groupBy("prompt", "path").agg(F.round(F.sum(F.col("score") / F.col("files")), 6).alias("weighted"), F.count("*").alias("support"), F.min(F.struct("rank", "file_ord")).alias("first"))
+    p = t.groupBy("prompt", "path").agg(F.round(F.sum(F.col("score") / F.col("files")), 8).alias("weighted"), F.count("*").alias("support"), F.min(F.struct("rank", "file_ord")).alias("first"))
     by = Window.partitionBy("prompt")
     p = p.withColumn("n", F.count("*").over(by)).withColumn("r", F.row_number().over(by.orderBy("weighted", "path")))
     p = p.withColumn("median", F.max(F.when(F.col("r") == F.floor(F.col("n") / 2) + 1, F.col("weighted"))).over(by))

@@ -164,7 +164,7 @@ def bm25_docs(spark, d):
 
 @query(
     f"""WITH {_BM_DOCS}, {_BM25}, {_SCORES}, f AS (SELECT doc, source AS path, 0 AS o FROM docs UNION ALL SELECT doc, lang, 1 FROM docs),
-    pa AS (SELECT prompt, path, round(sum(score / 2), 6) AS weighted, count(*) AS support, min(rank * 10 + o) AS first FROM top JOIN f USING (doc) GROUP BY 1, 2),
+    pa AS (SELECT prompt, path, round(sum(score / 2), 8) AS weighted, count(*) AS support, min(rank * 10 + o) AS first FROM top JOIN f USING (doc) GROUP BY 1, 2),
     md AS (SELECT prompt, list_sort(list(weighted))[count(*) // 2 + 1] AS med FROM pa GROUP BY 1)
     SELECT prompt, path, weighted, support, CASE WHEN support >= 2 AND weighted >= med * 1.25::DOUBLE THEN 'high' WHEN weighted >= med THEN 'medium' ELSE 'low' END AS confidence,
     row_number() OVER (PARTITION BY prompt ORDER BY weighted DESC, first) AS rank FROM pa JOIN md USING (prompt)"""
