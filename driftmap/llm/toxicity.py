@@ -214,7 +214,7 @@ def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
     """toxic, text of at most ``fit_rows`` labelled training rows. Their ids are few enough to be sent to every task."""
     few = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     few = few.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    return docs.join(F.broadcast(few), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"]).select("toxic", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _learned(sample: DataFrame, words: int, least: int) -> list[np.ndarray]:
