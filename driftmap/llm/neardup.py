@@ -135,8 +135,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # equal sets: partial aggregation leaves one row for each class and task, however many copies there are
     classes = materialize(full.groupBy("cls").agg(F.min(F.struct("doc_id", "keys")).alias("m")).select("cls", F.col("m.doc_id").alias("id"), F.col("m.keys").alias("keys")), "classes")
 
-    # one exchange serves the aggregation and the join
-    member = classes.select(F.explode("keys").alias("key"), "id").repartition("key")
+    # the aggregation combines within tasks first and the join may split a hot key, so no bucket must fit a task
+    member = classes.select(F.explode("keys").alias("key"), "id")
     shared = member.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least")
     member = materialize(member.join(shared, "key").select("key", "least", "id"), "buckets")
 
