@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -135,10 +136,6 @@ def shingle_hashes(wh: np.ndarray, w: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
-def binaries(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, type=pa.binary())
-
-
 _own: list[str] = []
 
 
@@ -162,13 +159,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends there, and lost executors cost nothing."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Removes a folder that this run wrote to the shared folder."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+_written: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes the tables that operators wrote so far; call it when their results have been used."""
+    while _written:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: Stands for a missing doc_id inside an operator; it sorts first, as null does in Spark.
@@ -184,22 +186,39 @@ def ids_back(ids) -> pa.Array:
     return pa.array(a, type=pa.int64(), mask=a == NO_ID)
 
 
-def range_bounds(docs: DataFrame, id_col: str, text_col: str, mb: float) -> list[int]:
-    """Ascending ids that cut ``docs`` into ranges of about ``mb`` MB of text.
+class IdRanges:
+    """Consecutive ranges of ids, each with about ``mb`` MB of text: numbered by ``of`` (numpy) and ``column`` (Spark) alike.
 
-    One pass counts the bytes and sketches the ids' quantiles (1,000 points at most reach
-    the driver, however large the table); between the points ids are cut evenly.
+    One pass counts the bytes and sketches the ids' quantiles. At most 1,001 of them reach the
+    driver and the tasks; between two of them ids are cut evenly, by arithmetic, so what is
+    sent does not grow with the number of ranges.
     """
-    from pyspark.sql import functions as F
-
-    at = [i / 1000 for i in range(1001)]
-    row = docs.agg(
-        F.sum(F.octet_length(text_col)).alias("b"),
-        F.percentile_approx(F.col(id_col), at, 4000).alias("q"),
-    ).first()
-    n = max(1, -(-int(row["b"] or 0) // int(mb * 1e6)))
-    if n == 1 or not row["q"]:
-        return []
-    q = np.array(row["q"], dtype=np.float64)
-    cuts = np.interp(np.arange(1, n) / n, at, q)
-    return np.unique(np.floor(cuts).astype(np.int64)).tolist()
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, mb: float):
+        row = docs.agg(
+            F.sum(F.octet_length(text_col)).alias("b"),
+            F.percentile_approx(F.col(id_col), [i / 1000 for i in range(1001)], 4000).alias("q"),
+        ).first()
+        n = max(1, -(-int(row["b"] or 0) // int(mb * 1e6))) if row["q"] else 1
+        knots = min(n, 1000)
+        self.at = np.array([row["q"][round(1000 * i / knots)] for i in range(knots + 1)] if row["q"] else [0, 1], dtype=np.int64)
+        self.each = -(-n // knots)
+        self.count = knots * self.each
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        seg = np.searchsorted(self.at[1:-1], ids, "right")
+        lo, width = self.at[seg].astype(np.float64), np.maximum(np.diff(self.at), 1)[seg]
+        inside = np.clip(np.floor((ids.astype(np.float64) - lo) * self.each / width), 0, self.each - 1)
+        return (seg * self.each + inside).astype(np.int32)
+
+    def column(self, id_col: str):
+        at, each, x = self.at.tolist(), self.each, F.col(id_col).cast("double")
+
+        def tree(lo: int, hi: int):
+            if lo == hi:
+                inside = F.floor((x - F.lit(float(at[lo]))) * F.lit(each) / F.lit(float(max(at[lo + 1] - at[lo], 1))))
+                return F.lit(lo * each) + F.greatest(F.lit(0), F.least(F.lit(each - 1), inside))
+            mid = (lo + hi + 1) // 2
+            return F.when(F.col(id_col) < F.lit(at[mid]), tree(lo, mid - 1)).otherwise(tree(mid, hi))
+
+        return tree(0, len(at) - 2).cast("int")

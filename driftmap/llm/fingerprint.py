@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import NO_ID
+from ._common import NO_ID, IdRanges
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACES = "\t\n\x0b\x0c\r"
@@ -87,39 +87,14 @@ def to_text(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def range_part(docs: DataFrame, mb: float) -> tuple[Column, int]:
-    """The range of a doc_id, as an expression, and the number of ranges of about ``mb`` MB of text.
-
-    1,000 quantiles at most reach the driver; ids between two of them are cut evenly, by
-    arithmetic, so the expression does not grow with the number of ranges.
-    """
-    row = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.percentile_approx("doc_id", [i / 1000 for i in range(1001)], 4000).alias("q")).first()
-    n = max(1, -(-int(row["b"] or 0) // int(mb * 1e6)))
-    if n == 1 or not row["q"]:
-        return F.lit(0), 1
-    knots = min(n, 1000)
-    at = [row["q"][round(1000 * i / knots)] for i in range(knots + 1)]
-    each = -(-n // knots)
-    x = F.col("doc_id").cast("double")
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            width = max(at[lo + 1] - at[lo], 1)
-            inside = F.greatest(F.lit(0), F.least(F.lit(each - 1), F.floor((x - at[lo]) * each / width)))
-            return F.lit(lo * each) + inside
-        mid = (lo + hi + 1) // 2
-        return F.when(F.col("doc_id") < at[mid], tree(lo, mid - 1)).otherwise(tree(mid, hi))
-
-    return tree(0, knots - 1).cast("int"), knots * each
-
-
 def with_next(docs: DataFrame, width: int, k: int, mb: float = 16) -> DataFrame:
     """doc_id, text, a (its sketch), and the text and sketch of the next doc_id (after the last the first).
 
     Documents go once to the range of their doc_id, and a range's first document also to the
     range before; there the next document is the next row.
     """
-    part, n = range_part(docs, mb)
+    ranges = IdRanges(docs, "doc_id", "text", mb)
+    part, n = ranges.column("doc_id"), ranges.count
     heads = docs.select("doc_id", part.alias("part")).groupBy("part").agg(F.min("doc_id").alias("head"))
     # one row for each range, not for each document
     order = Window.orderBy("part")

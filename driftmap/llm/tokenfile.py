@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, ids_back, ids_of, materialize, range_bounds, shared_path
+from ._common import NO_ID, IdRanges, ids_back, ids_of, materialize, shared_path
 from .wordids import encoder
 
 MAGIC = b"PLANES01"
@@ -158,8 +158,8 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, out: str, id_col: str =
     ids, once, straight to the range of their doc_id.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bounds = range_bounds(docs, "doc_id", "text", mb)
-    cuts = np.array(bounds, dtype=np.int64)
+    ranges = IdRanges(docs, "doc_id", "text", mb)
+    at_of = ranges.of
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -169,7 +169,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, out: str, id_col: str =
         small = np.dtype("<u2") if max(enc.size, end_id + 1) <= 1 << 16 else np.dtype("<u4")
         for b in batches:
             ids = ids_of(b.column(0))
-            part = np.searchsorted(cuts, ids, "right").astype(np.int32)
+            part = at_of(ids)
             for i in range(0, b.num_rows, 500):
                 col = b.column(1).slice(i, 500)
                 data = [zstd.compress(np.frombuffer(enc.ids(t) + end, dtype="<u4").astype(small).tobytes()) for t in col.to_pylist()]
@@ -202,7 +202,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, out: str, id_col: str =
 
     encoded = docs.mapInArrow(encode, "part int, doc_id long, ids binary")
     files = (
-        encoded.repartitionById(len(bounds) + 1, F.col("part"))
+        encoded.repartitionById(ranges.count, F.col("part"))
         .sortWithinPartitions("part", "doc_id")
         .mapInArrow(put, "part int, path string, n_docs long, n_ids long")
     )
