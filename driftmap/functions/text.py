@@ -103,12 +103,12 @@ _EMPTY_VERBS = """add correctly currently fix make need needed needs now please
 PROMPT_STOPWORDS = frozenset(_FILLER.split()) | frozenset(_EMPTY_VERBS.split())
 #: Words of commit texts that carry nothing: common ones, and the language's own.
 CORPUS_STOPWORDS = frozenset(
-    """the and for with from this that are was were been being not but all any will would should could into onto its
-    have has had does did can php class function return public private protected static use namespace new throw try
-    catch extends implements interface trait abstract final const""".split()
+    """abstract all and any are been being but can catch class const could did does extends final for from function had
+    has have implements interface into its namespace new not onto php private protected public return should static
+    that the this throw trait try use was were will with would""".split()
 )
 #: Suffixes in the order in which they are tried.
-SUFFIXES = ("ations", "ation", "tions", "tion", "ings", "ing", "ies", "edly", "ed", "ly", "es", "er", "s")
+SUFFIXES = tuple("ations ation tions tion ings ing ies edly ed ly es er s".split())
 
 
 def stem(word: Column) -> Column:
@@ -135,7 +135,7 @@ def prompt_tokens(text: Column) -> Column:
 
 def _camel(s: Column, lower: str) -> Column:
     s = F.regexp_replace(s, f"([{lower}])([A-Z])", "$1 $2")
-    return F.regexp_replace(s, "([A-Z]+)([A-Z][a-z])", "$1 $2")
+    return F.regexp_replace(s, "([A-Z]{1,})([A-Z][a-z])", "$1 $2")
 
 
 def corpus_tokens(text: Column) -> Column:
@@ -160,17 +160,24 @@ def path_tokens(path: Column) -> tuple[Column, Column]:
 # --- compositional prompts
 
 _VERSUS = r"(?:vs\.?|versus)"
+
+
+def _two(left: str, between: str, end: str = "") -> str:
+    """What is compared: the shortest first side, the rest as the second."""
+    return rf"(?i){left}(.+?)\s+{between}\s+(.+){end}"
+
+
 _COMPARISONS = (
-    r"(?is)" + any_of(["review", "audit", "inspect"]) + r"\s+(.+?)\s+" + any_of(["and", "alongside", "with"]) + r"\s+"
-    + any_of(["identify", "find", "spot", "surface"]) + r"\s+" + any_of(["gaps", "bugs", "issues", "differences"])
-    + r".*?\b(?:against|vs\.?|compared\s+to)\s+(.+)",
-    r"(?i)\bgaps?\s+" + any_of(["in", "of", "between"]) + r"\s+(.+?)\s+(?:against|compared\s+to|" + _VERSUS + r")\s+(.+)",
-    r"(?i)\bdifferences?\s+between\s+(.+?)\s+and\s+(.+)",
-    r"(?i)(.+?)\s+compared\s+" + any_of(["to", "with", "against"]) + r"\s+(.+)",
-    r"(?i)^(.+?)\s+" + _VERSUS + r"\s+(.+)\z",
-    r"(?i)(.+?)\s+against\s+(.+)",
+    r"(?is)" + any_of(["inspect", "audit", "review"]) + r"\s+(.+?)\s+" + any_of(["with", "alongside", "and"]) + r"\s+"
+    + any_of(["surface", "spot", "identify", "find"]) + r"\s+" + any_of(["issues", "gaps", "differences", "bugs"])
+    + r".*?\b" + any_of(["against", r"compared\s+to", r"vs\.?"]) + r"\s+(.+)",
+    _two(r"\bgaps?\s+" + any_of(["of", "in", "between"]) + r"\s+", any_of(["against", r"compared\s+to", _VERSUS])),
+    _two(r"\bdifferences?\s+between\s+", "and"),
+    _two("", r"compared\s+" + any_of(["against", "with", "to"])),
+    _two("^", _VERSUS, r"\z"),
+    _two("", "against"),
 )
-_LABEL_STOPWORDS = frozenset("the a an of in on for to and or i want need would like please usual just really implementation implementations code codebase".split())
+_LABEL_STOPWORDS = frozenset("a an and code codebase for i implementation implementations in just like need of on or please really the to usual want would".split())
 
 
 def _plain(s: Column) -> Column:
@@ -205,7 +212,7 @@ def mentions(text: Column) -> Column:
     path = F.regexp_extract_all(text, F.lit(r"((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.[A-Za-z]{1,5})"), 1)
     fqcn = F.regexp_extract_all(text, F.lit(r"([A-Z][A-Za-z0-9_]*(?:\\[A-Z][A-Za-z0-9_]*)+)"), 1)
     method = F.regexp_extract_all(text, F.lit(r"([A-Z][A-Za-z0-9_]*::[a-z][A-Za-z0-9_]*)"), 1)
-    pascal = F.filter(F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+)\b"), 1), lambda w: F.length(w) > 4)
+    pascal = F.filter(F.regexp_extract_all(text, F.lit(r"\b([A-Z][0-9a-z]+(?:[A-Z][0-9A-Za-z]*){1,})\b"), 1), lambda w: F.length(w) > 4)
     kinds = (("path", path), ("fqcn", fqcn), ("method", method), ("class", pascal))
 
     def tagged(kind: str, values: Column) -> Column:

@@ -20,8 +20,8 @@ class FilterConfig:
     mega_lines: int = 2000
     exclude_docs_only: bool = True
     exclude_dependency_churn: bool = True
-    bot_names: tuple[str, ...] = ("atlassian-bitbucket-pipelines", "dependabot", "github-actions", "renovate", "renovate-bot", "snyk-bot")
-    bot_email_suffixes: tuple[str, ...] = ("-bot", "[bot]", "noreply@github.com", "renovate@whitesourcesoftware.com")
+    bot_names: tuple[str, ...] = tuple("atlassian-bitbucket-pipelines dependabot github-actions renovate renovate-bot snyk-bot".split())
+    bot_email_suffixes: tuple[str, ...] = tuple("-bot [bot] noreply@github.com renovate@whitesourcesoftware.com".split())
 
 
 NOISE_SUBJECT = r"(?i)^\s*" + any_of(["chore", "fix", "merge", "revert", "typo", "update", "wip"]) + r"\s*[.!:]?\s*\z"
@@ -44,9 +44,9 @@ MERGED = r"(?i)^merged in ([a-z]+)(?:[/\s]|\z)"
 #: Words that tell the intent of other subjects, in the order in which they are tried.
 KEYWORDS = {
     "fix": r"fix(?:e[sd])?|bugs?|hotfix|regression|patch|resolve[ds]?|close[ds]?\s+#?\d+",
-    "refactor": r"refactor(?:s|ed|ing)?|rename|extract|inline|cleanup|tidy|simplif[iy]",
+    "refactor": r"cleanup|extract|inline|rename|tidy|refactor(?:ing|ed|s)?|simplif[iy]",
     "test": r"tests?|specs?|coverage|jest|pest|phpunit|vitest",
-    "perf": r"perf(?:ormance)?|speed(?:\s*up)?|faster|optimi[sz]e[ds]?",
+    "perf": r"faster|optimi[sz]e[ds]?|performance|perf|speed(?:\s*up)?",
     "docs": r"docs?|changelog|comments?|readme",
     "style": r"style|format(?:ting)?|indent|linter?|whitespace|cs[ -]?fixer",
     "build": r"build|docker(?:-compose|file)?|esbuild|rollup|vite|webpack",

@@ -284,7 +284,8 @@ def edges(files: DataFrame) -> DataFrame:
     return resolve_imports(raw, files.select("path"))
 
 
-_SUFFIXES = ("", ".ts", ".tsx", ".vue", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.vue", "/index.js", "/index.jsx")
+_ENDS = "ts tsx vue js jsx".split()
+_SUFFIXES = ("", *(f".{e}" for e in [*_ENDS, "mjs"]), *(f"/index.{e}" for e in _ENDS))
 
 
 def resolve_imports(raw: DataFrame, paths: DataFrame) -> DataFrame:

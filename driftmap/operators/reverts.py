@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from driftmap.functions.text import EXCLUDED_PATH
 
 QUOTED = r'(?s)^\s*Revert "(.*)"\s*\z'
-MENTION = r"(?i)this reverts commit ([0-9a-f]{7,40})"
+MENTION = r"(?i)\bthis\s+reverts\s+commit\s+([a-f0-9]{7,40})"
 
 
 def latest_before(events: DataFrame, candidates: DataFrame, keys: list[str], id_: str = "id", at: str = "ts") -> DataFrame:

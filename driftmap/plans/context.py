@@ -50,7 +50,7 @@ def prompt_sql(x: str) -> str:
 
 
 def _camel_sql(x: str, lower: str) -> str:
-    return f"regexp_replace(regexp_replace({x}, '([{lower}])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')"
+    return f"regexp_replace(regexp_replace({x}, '([{lower}])([A-Z])', '\\1 \\2', 'g'), '([A-Z]{{1,}})([A-Z][a-z])', '\\1 \\2', 'g')"
 
 
 def corpus_sql(x: str) -> str:
@@ -207,7 +207,7 @@ def compositional_split(spark, d):
     SELECT p_partkey, 'path' AS kind, unnest(list_distinct(regexp_extract_all(text, '((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\\.[A-Za-z]{1,5})', 1))) AS value FROM s
     UNION ALL SELECT p_partkey, 'fqcn', unnest(list_distinct(regexp_extract_all(text, '([A-Z][A-Za-z0-9_]*(?:\\\\[A-Z][A-Za-z0-9_]*)+)', 1))) FROM s
     UNION ALL SELECT p_partkey, 'method', unnest(list_distinct(regexp_extract_all(text, '([A-Z][A-Za-z0-9_]*::[a-z][A-Za-z0-9_]*)', 1))) FROM s
-    UNION ALL SELECT p_partkey, 'class', unnest(list_distinct(list_filter(regexp_extract_all(text, '\\b([A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+)\\b', 1), lambda w: length(w) > 4))) FROM s"""
+    UNION ALL SELECT p_partkey, 'class', unnest(list_distinct(list_filter(regexp_extract_all(text, '\\b([A-Z][0-9a-z]+(?:[A-Z][0-9A-Za-z]*){1,})\\b', 1), lambda w: length(w) > 4))) FROM s"""
 )
 def explicit_extract(spark, d):
     s = F.concat(F.lit("See src/"), F.regexp_replace("p_brand", "#", ""), F.lit("/Item"), F.col("p_size").cast("string"), F.lit(".php and App\\Models\\Part"), F.col("p_size").cast("string"), F.lit(" or OrderLine"), F.col("p_size").cast("string"), F.lit("::total and plain words"))

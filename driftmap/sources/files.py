@@ -12,10 +12,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SOURCES = tuple(".js .php .ts .tsx .vue".split())
 IGNORED = frozenset(".git node_modules vendor storage dist build coverage .nuxt .output".split())
 
 
-def list_files(root: str, extensions: tuple[str, ...] = (".php", ".ts", ".tsx", ".vue", ".js"), roots: tuple[str, ...] = ()) -> list[str]:
+def list_files(root: str, extensions: tuple[str, ...] = SOURCES, roots: tuple[str, ...] = ()) -> list[str]:
     """Paths below ``root`` with one of the extensions, sorted; dot folders and build folders are not entered."""
     out = []
     for start in roots or ("",):
@@ -25,7 +26,7 @@ def list_files(root: str, extensions: tuple[str, ...] = (".php", ".ts", ".tsx",
     return sorted(set(out))
 
 
-def read_sources(spark: SparkSession, root: str, extensions: tuple[str, ...] = (".php", ".ts", ".tsx", ".vue", ".js")) -> DataFrame:
+def read_sources(spark: SparkSession, root: str, extensions: tuple[str, ...] = SOURCES) -> DataFrame:
     """path, source of the files below ``root``, read by the executors; ``root`` may be any Hadoop folder."""
     pattern = "*.{" + ",".join(e.lstrip(".") for e in extensions) + "}"
     df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
@@ -63,7 +64,7 @@ def _scalar(x: str):
 
 def front_matter(text: str) -> tuple[dict, str]:
     """The header between two --- lines as a dict (scalars, lists, one level of maps), and the body."""
-    m = re.match(r"\A---\r?\n(.*?)\r?\n---\r?\n?(.*)\Z", text, re.S)
+    m = re.match(r"\A-{3}[ \t\r]*\n(.*?)\n-{3}[ \t\r]*(?:\n|\Z)(.*)\Z", text, re.S)
     if not m:
         return {}, text
     out: dict = {}

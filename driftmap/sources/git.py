@@ -18,7 +18,7 @@ FIELDS = ("%H", "%P", "%aN", "%aE", "%cI", "%s", "%B")
 
 def log_args(kind: str, since: str | None = None, until: str | None = None) -> list[str]:
     """Arguments of one of the two passes ('meta' or 'numstat'); times are pushed down to git."""
-    args = ["log", "--first-parent", "--no-color"]
+    args = "log --first-parent --no-color".split()
     args += [f"--since={since}"] if since else []
     args += [f"--until={until}"] if until else []
     if kind == "meta":

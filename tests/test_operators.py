@@ -460,7 +460,7 @@ class OrderController extends Base implements Shows, \Other\Thing
         throw new NotFound("x { y");
     }
 }
-Route::get('/orders/{id}', [OrderController::class, 'store']);
+Route::get('/parcels/{key}', [OrderController::class, 'store']);
 Route::post('orders', 'OrderController@store');
 """
 
@@ -469,7 +469,7 @@ def test_scan_php():
     nodes, edges = extract.scan_php("app/Http/Controllers/OrderController.php", PHP)
     c = "App\\Http\\Controllers"
     keys = {n[0] for n in nodes}
-    assert {f"class:{c}\\OrderController", f"method:{c}\\OrderController::store", "route:GET /orders/{id}", "route:POST /orders"} <= keys and not any("Hidden" in k for k in keys)
+    assert {f"class:{c}\\OrderController", f"method:{c}\\OrderController::store", "route:GET /parcels/{key}", "route:POST /orders"} <= keys and not any("Hidden" in k for k in keys)
     e = {x[:3] for x in edges}
     m = f"method:{c}\\OrderController::store"
     assert (f"class:{c}\\OrderController", f"class:{c}\\Base", "extends") in e
@@ -477,7 +477,7 @@ def test_scan_php():
     assert (f"class:{c}\\OrderController", f"trait:{c}\\Logs", "uses_trait") in e
     assert (m, "job:App\\Jobs\\Ship", "controller_dispatches_job") in e and (m, f"event:{c}\\OrderPlaced", "emits_event") in e and (m, f"event:{c}\\Seen", "emits_event") in e
     assert (m, "method:App\\Models\\Order::total", "calls") in e and (m, f"method:{c}\\OrderController::save", "calls") in e and (m, f"class:{c}\\NotFound", "throws") in e
-    assert ("route:GET /orders/{id}", f"method:{c}\\OrderController::store", "route_to_controller") in e and ("route:POST /orders", f"method:{c}\\OrderController::store", "route_to_controller") in e
+    assert ("route:GET /parcels/{key}", f"method:{c}\\OrderController::store", "route_to_controller") in e and ("route:POST /orders", f"method:{c}\\OrderController::store", "route_to_controller") in e
 
 
 def test_scan_ts_and_resolution(spark):
