@@ -41,7 +41,7 @@ class _Table(dict):
 class WordEncoder:
     """``ids(text)`` gives little-endian uint32 ids, as ``Tokenizer.encode`` does without special tokens."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
