@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from driftmap.functions import text
@@ -24,6 +26,16 @@ def query(oracle: str | None = None):
     return put
 
 
+def whole(f, *cuts: tuple[str, str], **options) -> None:
+    """Registers ``f`` over all its input as NAME_all; its SQL is that of ``f`` with each cut replaced."""
+    name, q = f.__name__, ORACLE[f.__name__]
+    for old, new in cuts:
+        if old not in q:
+            raise ValueError(f"{name}: no {old!r} in its SQL")
+        q = q.replace(old, new)
+    QUERIES[f"{name}_all"], ORACLE[f"{name}_all"] = partial(f, **options), q
+
+
 def _q(p: str) -> str:
     return "'" + p.replace("'", "''") + "'"
 
@@ -383,7 +395,7 @@ def rank_config(spark, d):
     return r.select("prompt", "value", "source", "confidence", F.col("rank").cast("long").alias("rank"))
 
 
-# --- complexity and plans: a plan for each order of a slice; its files are the order's parts
+# --- complexity and plans: a plan for each order (of a slice, or of all in NAME_all); its files are the order's parts
 
 
 def _files(spark, d):
@@ -416,8 +428,8 @@ def complexity_profile(spark, d):
     return _profiles(spark, d).select("path", F.col("lines").cast("long").alias("lines"), "reverts", F.array_join("signals", ",").alias("signals"), "risk")
 
 
-def _raw_plans(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey % 10 = 3")
+def _raw_plans(spark, d, of):
+    li = table(spark, d, "lineitem").where(of)
     g = li.groupBy(F.col("l_orderkey").alias("plan")).agg(F.sort_array(F.collect_set(F.col("l_partkey").cast("string"))).alias("files"))
     j = F.to_json(F.struct(F.lit("touch parts").alias("summary"), F.array(F.struct(F.lit("edit src/extra/File.php now").alias("description"), F.col("files").alias("files"))).alias("steps")))
     return g.select("plan", F.when(F.col("plan") % 20 == 3, j).otherwise(F.concat(F.lit("Change app/p"), F.array_join("files", ".php and app/p"), F.lit(".php soon"))).alias("raw_text"))
@@ -427,13 +439,16 @@ def _raw_plans(spark, d):
     """WITH g AS (SELECT l_orderkey AS plan, list_sort(list_distinct(list(CAST(l_partkey AS VARCHAR)))) AS files FROM lineitem WHERE l_orderkey % 10 = 3 GROUP BY 1)
     SELECT plan, plan % 20 = 3 AS is_json, array_to_string(CASE WHEN plan % 20 = 3 THEN list_append(files, 'src/extra/File.php') ELSE list_transform(files, lambda f: 'app/p' || f || '.php') END, '|') AS files FROM g"""
 )
-def plan_parse(spark, d):
-    p = plan.parse(_raw_plans(spark, d))
+def plan_parse(spark, d, of="l_orderkey % 10 = 3"):
+    p = plan.parse(_raw_plans(spark, d, of))
     return p.select("plan", "is_json", F.array_join("files", "|").alias("files"))
 
 
-def _planned(spark, d):
-    return touches1(spark, d).where("commit_id % 10 = 3").select(F.col("commit_id").alias("plan"), "path").distinct()
+_SLICE = "commit_id % 10 = 3"
+
+
+def _planned(spark, d, of):
+    return touches1(spark, d).where(of).select(F.col("commit_id").alias("plan"), "path").distinct()
 
 
 _PLANNED = "pl AS (SELECT DISTINCT l_orderkey AS plan, l_partkey AS path FROM lineitem WHERE l_orderkey % 10 = 3)"
@@ -448,9 +463,9 @@ def _issue_cols(df):
     return df.select("plan", "checker", "severity", F.round("confidence", 6).alias("confidence"), F.col("discriminator").cast("string").alias("discriminator"), paths)
 
 
-def _missing_test(spark, d):
+def _missing_test(spark, d, of):
     repo = table(spark, d, "part").where("p_size > 25").select((F.col("p_partkey") + 1000).alias("path"))
-    planned = _planned(spark, d).unionAll(_planned(spark, d).where("path % 5 = 0").select("plan", F.col("path") + 1000))
+    planned = _planned(spark, d, of).unionAll(_planned(spark, d, of).where("path % 5 = 0").select("plan", F.col("path") + 1000))
     source = planned.where("path <= 1000000")
     return plan.check_missing_test(source.where("path % 2 = 0"), repo, _risk(spark, d), F.array(F.col("path") + 1000, F.col("path") + 2000))
 
@@ -466,12 +481,12 @@ _SHOW = "plan, checker, severity, round(confidence, 6) AS confidence, discrimina
 
 
 @query(f"WITH rk1 AS ({_VOL}), {_PLANNED}, {_MISSING} SELECT {_SHOW} FROM mt")
-def check_missing_test(spark, d):
-    return _issue_cols(_missing_test(spark, d))
+def check_missing_test(spark, d, of=_SLICE):
+    return _issue_cols(_missing_test(spark, d, of))
 
 
-def _name_plans(spark, d):
-    return touches2(spark, d).where("commit_id % 60 = 11").select(F.col("commit_id").alias("plan"), "path")
+def _name_plans(spark, d, of):
+    return touches2(spark, d).where(of).select(F.col("commit_id").alias("plan"), "path")
 
 
 _NAME_RISK = "nr AS (SELECT DISTINCT p_name AS path, (ascii(p_name) % 10) / 10.0::DOUBLE AS risk_score, (length(p_name) % 4) / 10.0::DOUBLE AS density FROM part)"
@@ -492,9 +507,9 @@ def _name_risk(spark, d):
         round(coupling, 6) AS confidence, neighbor AS discriminator, array_to_string(list_sort(list_append(anchors, neighbor)), '|') AS paths FROM g JOIN nr ON nr.path = neighbor""",
     )
 )
-def check_cochange(spark, d):
+def check_cochange(spark, d, of="commit_id % 60 = 11"):
     r = _name_risk(spark, d)
-    return _issue_cols(plan.check_cochange(_name_plans(spark, d), matrix2(spark, d), r.select("path", "risk_score"), r.select("path", "density")))
+    return _issue_cols(plan.check_cochange(_name_plans(spark, d, of), matrix2(spark, d), r.select("path", "risk_score"), r.select("path", "density")))
 
 
 _REVERT_ISSUES = f"""ri AS (SELECT plan, 'revert' AS checker, CASE WHEN density >= 0.15 AND reverts >= 2 AND epoch(TIMESTAMP '{AS_OF}') - epoch(last_at) <= 540 * 86400 THEN 'critical' WHEN risk_score >= 0.7 THEN 'warning' ELSE 'info' END AS severity,
@@ -502,13 +517,13 @@ _REVERT_ISSUES = f"""ri AS (SELECT plan, 'revert' AS checker, CASE WHEN density
     rvi AS (SELECT plan, checker, severity, CASE WHEN severity = 'info' THEN 0.4::DOUBLE ELSE 0.9::DOUBLE END AS confidence, CAST(path AS VARCHAR) AS discriminator, CAST(path AS VARCHAR) AS paths, 'revert_risk' AS kind FROM ri)"""
 
 
-def _revert_issues(spark, d):
-    return plan.check_revert(_planned(spark, d), _risk(spark, d), _reverts(spark, d), AS_OF)
+def _revert_issues(spark, d, of):
+    return plan.check_revert(_planned(spark, d, of), _risk(spark, d), _reverts(spark, d), AS_OF)
 
 
 @query(f"WITH rk1 AS ({_VOL}), {_PLANNED}, {_REVERTS}, {_REVERT_ISSUES} SELECT {_SHOW} FROM rvi")
-def check_revert(spark, d):
-    return _issue_cols(_revert_issues(spark, d))
+def check_revert(spark, d, of=_SLICE):
+    return _issue_cols(_revert_issues(spark, d, of))
 
 
 _RULES = [
@@ -560,15 +575,15 @@ _COMPLEX = """cx AS (SELECT plan, 'complexity' AS checker, CASE WHEN risk = 'hig
 
 
 @query(f"WITH {_PROFILE}, {_PLANNED}, {_COMPLEX} SELECT {_SHOW} FROM cx")
-def check_complexity(spark, d):
-    return _issue_cols(plan.check_complexity(_planned(spark, d), _profiles(spark, d)))
+def check_complexity(spark, d, of=_SLICE):
+    return _issue_cols(plan.check_complexity(_planned(spark, d, of), _profiles(spark, d)))
 
 
-def _all_issues(spark, d):
-    parts = [_missing_test(spark, d), _revert_issues(spark, d), plan.check_complexity(_planned(spark, d), _profiles(spark, d))]
+def _all_issues(spark, d, of):
+    parts = [_missing_test(spark, d, of), _revert_issues(spark, d, of), plan.check_complexity(_planned(spark, d, of), _profiles(spark, d))]
     cast = lambda i: i.withColumn("discriminator", F.col("discriminator").cast("string")).withColumn("paths", F.transform("paths", lambda p: p.cast("string")))
     issues = cast(parts[0]).unionByName(cast(parts[1])).unionByName(cast(parts[2]))
-    plans = _planned(spark, d).select("plan").distinct()
+    plans = _planned(spark, d, of).select("plan").distinct()
     flags = plans.where("plan % 30 = 3").select("plan", F.lit("we know about every revert_risk").alias("flag"))
     quiet = plans.where("plan % 30 = 13").select("plan", F.lit("missing_test").alias("what"))
     return plans, plan.dedup_sort(plan.suppress(plan.dampen(issues, flags), quiet))
@@ -587,28 +602,34 @@ _ALL = f"""WITH {_PROFILE}, {_PLANNED}, {_MISSING}, {_REVERT_ISSUES}, {_COMPLEX}
         count(*) FILTER (severity = 'warning' AND checker IN ('missing_test', 'cochange')) AS s, count(DISTINCT checker) FILTER (severity = 'warning' AND checker IN ('missing_test', 'cochange')) AS sc FROM iss GROUP BY 1)
     SELECT plan, coalesce(c, 0) AS criticals, coalesce(w, 0) AS warnings, coalesce(act, 0) AS actionable, CASE WHEN c > 0 OR act >= 3 OR (s >= 2 AND sc >= 2) THEN 'revise' ELSE 'pass' END AS verdict FROM (SELECT DISTINCT plan FROM pl) LEFT JOIN a USING (plan)"""
 )
-def plan_verdict(spark, d):
-    return plan.verdicts(*_all_issues(spark, d))
+def plan_verdict(spark, d, of=_SLICE):
+    return plan.verdicts(*_all_issues(spark, d, of))
 
 
 @query(
     f"""{_ALL} SELECT plan, path, max(CASE severity WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) AS level FROM (SELECT plan, severity, unnest(string_split(paths, '|')) AS path FROM iss)
     WHERE (plan, path) NOT IN (SELECT plan, CAST(path AS VARCHAR) FROM pl) GROUP BY 1, 2"""
 )
-def plan_suggest(spark, d):
-    _, i = _all_issues(spark, d)
-    return plan.suggestions(i, _planned(spark, d).withColumn("path", F.col("path").cast("string")))
+def plan_suggest(spark, d, of=_SLICE):
+    _, i = _all_issues(spark, d, of)
+    return plan.suggestions(i, _planned(spark, d, of).withColumn("path", F.col("path").cast("string")))
 
 
 @query(
     f"""{_ALL}, c AS (SELECT *, row_number() OVER (PARTITION BY plan, checker ORDER BY rank) AS pc FROM iss WHERE severity <> 'info'), o AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY rank) AS place FROM c WHERE pc <= 3)
     SELECT plan, checker, severity, discriminator, place FROM o WHERE place <= 8"""
 )
-def plan_rerun_select(spark, d):
-    _, i = _all_issues(spark, d)
+def plan_rerun_select(spark, d, of=_SLICE):
+    _, i = _all_issues(spark, d, of)
     return plan.rerun_selection(i).select("plan", "checker", "severity", "discriminator", F.col("place").cast("long").alias("place"))
 
 
+# the queries above are slices, as their SQL is; these take every order, every customer
+for _f in (plan_parse, check_missing_test, check_revert, check_complexity, plan_verdict, plan_suggest, plan_rerun_select):
+    whole(_f, (" WHERE l_orderkey % 10 = 3", ""), of="true")
+whole(check_cochange, (" WHERE commit_id % 60 = 11", ""), of="true")
+
+
 # --- benchmark: an order is a sample, its first part the query, the others the truth
 
 
@@ -660,20 +681,20 @@ def bench_aggregate(spark, d):
 
 
 def _targets(spark, d):
-    return touches1(spark, d).where("commit_id % 100 = 3").select(F.col("commit_id").alias("prompt"), "path").distinct()
+    return touches1(spark, d).select(F.col("commit_id").alias("prompt"), "path").distinct()
 
 
 @query()
 def signals_block(spark, d):
-    """What history says of the parts of some orders, as text."""
+    """What history says of the parts of each order, as text."""
     m = cochange.co_change(touches1(spark, d), min_joint=2, min_coupling=0.05, exclude=None)
     return render.signals_block(_targets(spark, d), risk1(spark, d), m, _reverts(spark, d))
 
 
 @query()
 def worker_pack(spark, d):
-    """Targets, signals and warnings of some plans, as text."""
-    _, issues = _all_issues(spark, d)
+    """Targets, signals and warnings of each plan, as text."""
+    _, issues = _all_issues(spark, d, "true")
     m = cochange.co_change(touches1(spark, d), min_joint=2, min_coupling=0.05, exclude=None)
     p = render.worker_pack(_targets(spark, d).withColumnRenamed("prompt", "plan"), issues, risk1(spark, d), m, _reverts(spark, d))
     return p.select("plan", F.array_join("targets", ",").alias("targets"), "markdown")
