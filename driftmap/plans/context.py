@@ -324,11 +324,14 @@ def neighbors_pruned(spark, d):
     return graph.pruned(graph.neighbourhood(fk_graph(spark, d)[1], _centres(spark, d), 2), 12, 8)
 
 
-# --- anchors: a prompt for each customer of one segment; its explicit anchors are names the customer bought
+# --- anchors: a prompt for each customer (of a slice, or of all in NAME_all); its explicit anchors are names the customer bought
 
 
-def _seed_anchors(spark, d):
-    t = touches2(spark, d).where("commit_id % 40 = 7")
+_SEEDED = "commit_id % 40 = 7"
+
+
+def _seed_anchors(spark, d, of):
+    t = touches2(spark, d).where(of)
     k = F.pmod(F.ascii("path") + F.length("path"), F.lit(3))
     a = t.select(F.col("commit_id").alias("prompt"), F.col("path").alias("value"), F.when(k == 0, "high").when(k == 1, "medium").otherwise("low").alias("confidence"), F.when(F.length("path") % 2 == 0, "explicit").otherwise("lexical").alias("source"))
     return a.select("prompt", F.lit("path").alias("kind"), "value", "source", "confidence", F.array(F.concat(F.lit("seed "), "value")).alias("evidence"), F.length("value").cast("long").alias("support"), F.col("value").alias("ord"))
@@ -344,13 +347,13 @@ _CAND = """cand AS (SELECT prompt, place, par.value AS parent, conf - 1 AS conf,
     grown AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2)"""
 
 
-def _expanded(spark, d):
-    return anchors.expand_co_change(_seed_anchors(spark, d), matrix2(spark, d), most=2)
+def _expanded(spark, d, of, most):
+    return anchors.expand_co_change(_seed_anchors(spark, d, of), matrix2(spark, d), most=most)
 
 
 @query(sql("touches2", pairs_sql("touches2", 3, 0.3, None) + f", {TOP}, {_SEEDS}, {_PARENTS}, {_CAND} SELECT prompt, value, parent, place, ['low', 'medium', 'high'][conf + 1] AS confidence, round(coupling, 6) AS coupling FROM grown"))
-def expand_cochange(spark, d):
-    return _expanded(spark, d).select("prompt", "value", "parent", F.col("place").cast("long").alias("place"), "confidence", F.round("coupling", 6).alias("coupling"))
+def expand_cochange(spark, d, of=_SEEDED, most=2):
+    return _expanded(spark, d, of, most).select("prompt", "value", "parent", F.col("place").cast("long").alias("place"), "confidence", F.round("coupling", 6).alias("coupling"))
 
 
 @query()
@@ -362,10 +365,10 @@ def expand_graph(spark, d):
     return anchors.expand_graph(a, e, ["placed_by", "lives_in"])
 
 
-def _ranked(spark, d):
-    grown = _expanded(spark, d).select("prompt", F.lit("path").alias("kind"), "value", F.lit("cochange_expand").alias("source"), "confidence", F.array(F.concat(F.lit("with "), "parent")).alias("evidence"), F.lit(0).cast("long").alias("support"), F.col("value").alias("ord"))
-    again = _seed_anchors(spark, d).where("support > 20").select("prompt", "kind", "value", F.lit("corpus_match").alias("source"), F.lit("medium").alias("confidence"), F.array(F.lit("again")).alias("evidence"), "support", "ord")
-    return anchors.rank(_seed_anchors(spark, d).unionByName(grown).unionByName(again), max_paths=6)
+def _ranked(spark, d, of, most):
+    grown = _expanded(spark, d, of, most).select("prompt", F.lit("path").alias("kind"), "value", F.lit("cochange_expand").alias("source"), "confidence", F.array(F.concat(F.lit("with "), "parent")).alias("evidence"), F.lit(0).cast("long").alias("support"), F.col("value").alias("ord"))
+    again = _seed_anchors(spark, d, of).where("support > 20").select("prompt", "kind", "value", F.lit("corpus_match").alias("source"), F.lit("medium").alias("confidence"), F.array(F.lit("again")).alias("evidence"), "support", "ord")
+    return anchors.rank(_seed_anchors(spark, d, of).unionByName(grown).unionByName(again), max_paths=6)
 
 
 _RANK = """al AS (SELECT prompt, value, src, conf, support, 'seed ' || value AS ev FROM seeds UNION ALL SELECT prompt, value, 1, conf, 0, 'with ' || parent FROM grown
@@ -377,8 +380,8 @@ _NAMES = "['graph_expand', 'cochange_expand', 'lexical', 'corpus_match', 'explic
 
 
 @query(sql("touches2", pairs_sql("touches2", 3, 0.3, None) + f", {TOP}, {_SEEDS}, {_PARENTS}, {_CAND}, {_RANK} SELECT prompt, value, {_NAMES}, evidence, rank, CASE WHEN tr <= 6 THEN tr END AS target_rank FROM rt WHERE rank <= 40"))
-def rank_anchors(spark, d):
-    r = _ranked(spark, d)
+def rank_anchors(spark, d, of=_SEEDED, most=2):
+    r = _ranked(spark, d, of, most)
     return r.select("prompt", "value", "source", "confidence", F.array_join("evidence", "|").alias("evidence"), F.col("rank").cast("long").alias("rank"), F.col("target_rank").cast("long").alias("target_rank"))
 
 
@@ -390,11 +393,21 @@ def rank_anchors(spark, d):
         SELECT prompt, value, {_NAMES}, rank FROM ok UNION ALL SELECT DISTINCT prompt, 'always here', 'project_config', 'high', -1 FROM rt""",
     )
 )
-def rank_config(spark, d):
-    r = anchors.apply_config(_ranked(spark, d), exclude=["antique*"], boosts=[("lexical", "medium", "high")], include=["always here"])
+def rank_config(spark, d, of=_SEEDED, most=2):
+    r = anchors.apply_config(_ranked(spark, d, of, most), exclude=["antique*"], boosts=[("lexical", "medium", "high")], include=["always here"])
     return r.select("prompt", "value", "source", "confidence", F.col("rank").cast("long").alias("rank"))
 
 
+_ROUND = """r{0} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY coupling DESC, nrank) AS r FROM cand WHERE place = {0} AND (prompt, value) NOT IN ({1})) WHERE r <= 3)"""
+_TWO = "grown AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2)"
+_FIVE = ", ".join(_ROUND.format(i, " UNION ALL ".join(f"SELECT prompt, value FROM r{j}" for j in range(1, i))) for i in (3, 4, 5))
+_FIVE += ", grown AS (" + " UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(1, 6)) + ")"
+
+# the three above take a slice of the customers and two parents, as their SQL does; these take every customer and five parents
+for _f in (expand_cochange, rank_anchors, rank_config):
+    whole(_f, (" WHERE commit_id % 40 = 7", ""), ("place <= 2", "place <= 5"), (_TWO, _FIVE), of="true", most=5)
+
+
 # --- complexity and plans: a plan for each order (of a slice, or of all in NAME_all); its files are the order's parts
 
 
