@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from driftmap.functions import text
 from driftmap.operators import anchors, benchmark, cochange, complexity, graph, plan, render, retrieval
-from driftmap.plans.bindings import AS_OF, DOC_EPOCH, commits1, graph as fk_graph, lexical_paths, sql, touches1, touches2
+from driftmap.plans.bindings import AS_OF, SQL, DOC_EPOCH, commits1, graph as fk_graph, lexical_paths, sql, touches1, touches2
 from driftmap.plans.mining import TOP, VOLATILITY_SQL, matrix2, pairs_sql, risk1
 from driftmap.session import table
 from driftmap.streaming import pairs
@@ -263,8 +263,8 @@ def page_routes(spark, d):
 
 
 @query(sql("nodes edges", "SELECT 'node' AS what, kind, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'edge', kind, count(*) FROM edges GROUP BY 2"))
-def graph_stats(spark, d):
-    return graph.kind_stats(*fk_graph(spark, d))
+def graph_stats(spark, d, every=False):
+    return graph.kind_stats(*fk_graph(spark, d, every))
 
 
 _SEARCHES = ["nation:3", "CANADA", "customer.", "Supplier#00", "asia", "1"]
@@ -279,18 +279,20 @@ _SEARCHES = ["nation:3", "CANADA", "customer.", "Supplier#00", "asia", "1"]
         SELECT * FROM (SELECT query, key, tier, row_number() OVER (PARTITION BY query ORDER BY tier, key) AS rank FROM x) WHERE rank <= 20""",
     )
 )
-def graph_search(spark, d):
+def graph_search(spark, d, every=False):
     q = spark.createDataFrame([(x,) for x in _SEARCHES], "query string")
-    return graph.search(fk_graph(spark, d)[0], q).withColumn("rank", F.col("rank").cast("long"))
+    return graph.search(fk_graph(spark, d, every)[0], q).withColumn("rank", F.col("rank").cast("long"))
 
 
 _CENTRES = "SELECT 'customer:' || c_custkey AS center FROM customer WHERE c_nationkey < 5 UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_nationkey < 5"
 
 
-def _centres(spark, d):
+def _centres(spark, d, every):
     c, s = table(spark, d, "customer"), table(spark, d, "supplier")
-    a = c.where("c_nationkey < 5").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("center"))
-    return a.unionAll(s.where("s_nationkey < 5").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string"))))
+    if not every:
+        c, s = c.where("c_nationkey < 5"), s.where("s_nationkey < 5")
+    a = c.select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("center"))
+    return a.unionAll(s.select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string"))))
 
 
 _HOPS = f"""ce AS ({_CENTRES}), h1 AS (SELECT DISTINCT center, e.* FROM ce JOIN edges e ON e.src = center OR e.dst = center),
@@ -299,13 +301,13 @@ _HOPS = f"""ce AS ({_CENTRES}), h1 AS (SELECT DISTINCT center, e.* FROM ce JOIN
 
 
 @query(sql("edges", f"WITH {_HOPS} SELECT center, src, dst, kind, confidence FROM h1"))
-def neighbors_1hop(spark, d):
-    return graph.neighbourhood(fk_graph(spark, d)[1], _centres(spark, d), 1)
+def neighbors_1hop(spark, d, every=False):
+    return graph.neighbourhood(fk_graph(spark, d, every)[1], _centres(spark, d, every), 1)
 
 
 @query(sql("edges", f"WITH {_HOPS} SELECT center, kind, count(*) AS edges, count(DISTINCT src) AS sources, min(src) AS first, max(dst) AS last FROM h2 GROUP BY 1, 2"))
-def neighbors_2hop(spark, d):
-    n = graph.neighbourhood(fk_graph(spark, d)[1], _centres(spark, d), 2)
+def neighbors_2hop(spark, d, every=False):
+    n = graph.neighbourhood(fk_graph(spark, d, every)[1], _centres(spark, d, every), 2)
     return n.groupBy("center", "kind").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.min("src").alias("first"), F.max("dst").alias("last"))
 
 
@@ -320,8 +322,15 @@ def neighbors_2hop(spark, d):
         SELECT center, src, dst, kind, confidence, cut OR n > 8 AS truncated FROM e JOIN ct USING (center) WHERE r <= 8""",
     )
 )
-def neighbors_pruned(spark, d):
-    return graph.pruned(graph.neighbourhood(fk_graph(spark, d)[1], _centres(spark, d), 2), 12, 8)
+def neighbors_pruned(spark, d, every=False):
+    return graph.pruned(graph.neighbourhood(fk_graph(spark, d, every)[1], _centres(spark, d, every), 2), 12, 8)
+
+
+# those above keep an order's first line and the centres of five nations, as their SQL does; these take every line, part, order, customer and supplier
+for _f in (graph_search, graph_stats, neighbors_1hop, neighbors_2hop, neighbors_pruned):
+    _cuts = [(SQL[x], SQL[f"{x}_all"]) for x in ("nodes", "edges") if SQL[x] in ORACLE[_f.__name__]]
+    _cuts += [(f" WHERE {x}_nationkey < 5", "") for x in "cs" if _f.__name__.startswith("neighbors")]
+    whole(_f, *_cuts, every=True)
 
 
 # --- anchors: a prompt for each customer (of a slice, or of all in NAME_all); its explicit anchors are names the customer bought
@@ -358,8 +367,8 @@ def expand_cochange(spark, d, of=_SEEDED, most=2):
 
 @query()
 def expand_graph(spark, d):
-    _, e = fk_graph(spark, d)
-    c = table(spark, d, "customer").where("c_nationkey < 3")
+    _, e = fk_graph(spark, d, True)
+    c = table(spark, d, "customer")
     key = F.concat(F.lit("customer:"), F.col("c_custkey").cast("string"))
     a = c.select(F.col("c_nationkey").alias("prompt"), F.lit("symbol").alias("kind"), key.alias("value"), F.lit("high").alias("confidence"), F.col("c_custkey").alias("ord"))
     return anchors.expand_graph(a, e, ["placed_by", "lives_in"])
@@ -715,7 +724,7 @@ def worker_pack(spark, d):
 
 @query()
 def subgraph_render(spark, d):
-    n = graph.pruned(graph.neighbourhood(fk_graph(spark, d)[1], _centres(spark, d), 2), 12, 8)
+    n = graph.pruned(graph.neighbourhood(fk_graph(spark, d, True)[1], _centres(spark, d, True), 2), 12, 8)
     return render.subgraph_block(n)
 
 
