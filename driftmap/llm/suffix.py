@@ -26,9 +26,13 @@ documents share sends one row for each task and anchor. Names have 64 bits for t
 more for context or string, both functions of random byte values: two different strings meet
 with a probability of about 2**-100 for each pair compared.
 
-Null text is the empty text. Rows with the same doc_id are one document: the same text twice
-is no repeat of itself, and of different texts a span that goes from one goes from all. A
-null doc_id counts as the smallest.
+Every row is a document of its own: it gets a row number when the texts are packed into a table
+of the shared folder, and spans, anchors and contexts belong to row numbers, never to doc_id.
+doc_id only puts documents in order; a null doc_id is the smallest, and rows with the same
+doc_id (or none) follow each other in the order of the table. So of repeated rows the first
+keeps its text, and what different texts with one doc_id share stays in the first of them.
+Null text is the empty text (``without_repeats`` hands null on); an empty table gives an empty
+result. Other columns are not looked at, whatever their names; ``without_repeats`` keeps them.
 """
 
 from __future__ import annotations
@@ -42,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BYTE, BYTE2, NO_ID, U, flat, ids_back, ids_of, materialize, mix, pieces, prefix_hash, span_hash
+from ._common import BYTE, BYTE2, U, flat, ids_back, ids_of, materialize, mix, pieces, prefix_hash, span_hash
 
 #: Bytes of text that a task looks at in one go; copies are merged within a group of GROUP such pieces.
 PIECE, GROUP = 1 << 17, 192
@@ -91,41 +95,43 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, seed: int) -> tuple[
     return at[i], starts[i], starts[last], names[at[i]]
 
 
-def _first_of(one: np.ndarray, two: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that are first of their name (one, two), and rows that are repeats; the first row met again is neither."""
-    order = np.lexsort((at, doc, two, one))
-    new, again = _marks(one[order], two[order], doc[order], at[order])
+def _first_of(one: np.ndarray, two: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places that are first of their name (one, two), and places that are repeats; the first place met again is neither."""
+    order = np.lexsort((at, row, doc, two, one))
+    new, again = _marks(one[order], two[order], row[order], at[order])
     return order[new], order[again]
 
 
-def _marks(one: np.ndarray, two: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted rows: whether each opens a new name, and whether it is a repeat."""
+def _marks(one: np.ndarray, two: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted places: whether each opens a new name, and whether it is a repeat."""
     new = np.ones(len(one), dtype=bool)
     new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
     head = np.maximum.accumulate(np.where(new, np.arange(len(one)), 0))
-    return new, ~new & ((doc != doc[head]) | (at != at[head]))
-
-
-def _spans(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The unions of overlapping or touching spans of each document, sorted."""
-    if not len(doc):
-        return doc, lo, hi
-    order = np.lexsort((lo, doc))
-    doc, lo, hi = doc[order], lo[order], hi[order]
-    fresh = np.ones(len(doc), dtype=bool)
-    group = np.cumsum(np.r_[True, doc[1:] != doc[:-1]]) - 1
-    # running maximum of hi within the document
+    return new, ~new & ((row != row[head]) | (at != at[head]))
+
+
+def _spans(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The unions of overlapping or touching spans of each row, sorted."""
+    if not len(row):
+        return row, lo, hi
+    order = np.lexsort((lo, row))
+    row, lo, hi = row[order], lo[order], hi[order]
+    fresh = np.ones(len(row), dtype=bool)
+    group = np.cumsum(np.r_[True, row[1:] != row[:-1]]) - 1
+    # running maximum of hi within the row
     shift = group * (int(hi.max()) + 1)
     reach = np.maximum.accumulate(hi + shift) - shift
-    fresh[1:] = (doc[1:] != doc[:-1]) | (lo[1:] > reach[:-1])
+    fresh[1:] = (row[1:] != row[:-1]) | (lo[1:] > reach[:-1])
     i = np.flatnonzero(fresh)
-    return doc[i], lo[i], np.maximum.reduceat(hi, i)
+    return row[i], lo[i], np.maximum.reduceat(hi, i)
 
 
 #: Between tasks. kind 0: an anchor (place: its position, first and last start before it, packed); kind 1: a repeated span (place, context: lo, hi).
-_ANCHOR, _ANCHOR_NAMES = "kind byte, seed long, context long, doc_id long, place long", ["kind", "seed", "context", "doc_id", "place"]
+_ANCHOR_NAMES = ["kind", "seed", "context", "doc_id", "row", "place"]
+_ANCHOR = "kind byte, seed long, context long, doc_id long, row long, place long"
 #: kind 1: a repeated span; kind 2: an anchor whose strings, starting at lo to hi, are open; kind 3: a string at lo, named seed and hi.
-_FOUND, _FOUND_NAMES = "kind byte, seed long, doc_id long, lo long, hi long", ["kind", "seed", "doc_id", "lo", "hi"]
+_FOUND_NAMES = ["kind", "seed", "doc_id", "row", "lo", "hi"]
+_FOUND = "kind byte, seed long, doc_id long, row long, lo long, hi long"
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -136,39 +142,50 @@ def _batch(kind: int, names: list[str], *cols: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int8)), *map(_long, cols)], names)
 
 
-def _found(kind: int, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, seed: np.ndarray | None = None) -> pa.RecordBatch:
-    return _batch(kind, _FOUND_NAMES, np.zeros(len(doc), np.int64) if seed is None else seed, doc, lo, hi)
+def _found(kind: int, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, seed: np.ndarray | None = None, doc: np.ndarray | None = None) -> pa.RecordBatch:
+    none = np.zeros(len(row), np.int64)
+    return _batch(kind, _FOUND_NAMES, none if seed is None else seed, none if doc is None else doc, row, lo, hi)
 
 
-def _by_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _by_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Packed texts (row, doc_id, packed) to doc_id, row, bytes and offsets of about PIECE bytes."""
+    import zstandard
+
+    unzip = zstandard.ZstdDecompressor()
     for b in batches:
-        ids = ids_of(b.column(0))
-        data, off = flat(b.column(1))
-        for i, j in pieces(off, PIECE):
-            yield ids[i:j], data[off[i] : off[j]], off[i : j + 1] - off[i]
+        row, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
+        held: list[bytes] = []
+        first = size = 0
+        for k, x in enumerate(b.column(2)):
+            held.append(unzip.decompress(x.as_buffer()))
+            size += len(held[-1])
+            if size >= PIECE or k == b.num_rows - 1:
+                off = np.concatenate([[0], np.cumsum([len(t) for t in held])])
+                yield doc[first : k + 1], row[first : k + 1], np.frombuffer(b"".join(held), np.uint8), off
+                held, first, size = [], k + 1, 0
 
 
 def _contexts(length: int, seed: int):
     """Texts to anchors, those of one context in one group merged."""
 
     def combined(part: list[tuple]) -> Iterator[pa.RecordBatch]:
-        s, c, d, at, lo, hi = (np.concatenate(x) for x in zip(*part))
-        first, rest = _first_of(s, c, d, at)
+        s, c, d, r, at, lo, hi = (np.concatenate(x) for x in zip(*part))
+        first, rest = _first_of(s, c, d, r, at)
         place = (at[first] << 16) | ((at[first] - lo[first]) << 8) | (at[first] - hi[first])
-        yield _batch(0, _ANCHOR_NAMES, s[first], c[first], d[first], place)
+        yield _batch(0, _ANCHOR_NAMES, s[first], c[first], d[first], r[first], place)
         if len(rest):
-            doc, lo, hi = _spans(d[rest], lo[rest], hi[rest] + length)
-            yield _batch(1, _ANCHOR_NAMES, mix(doc.view(np.uint64)), hi, doc, lo)
+            row, lo, hi = _spans(r[rest], lo[rest], hi[rest] + length)
+            yield _batch(1, _ANCHOR_NAMES, mix(row.view(np.uint64)), hi, np.zeros(len(row), np.int64), row, lo)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part: list[tuple] = []
-        for ids, data, off in _by_piece(batches):
+        for doc, rows, data, off in _by_piece(batches):
             at, lo, hi, name = anchors(data, off, length, seed)
             if len(at):
                 p = prefix_hash(data, BYTE2)
                 context = mix(span_hash(p, lo, hi + length) + (((at - lo) << 32) | (hi - lo)).astype(np.uint64))
-                row = np.searchsorted(off, at, "right") - 1
-                part.append((name, context, ids[row], at - off[row], lo - off[row], hi - off[row]))
+                i = np.searchsorted(off, at, "right") - 1
+                part.append((name, context, doc[i], rows[i], at - off[i], lo - off[i], hi - off[i]))
             if len(part) == GROUP:
                 yield from combined(part)
                 part = []
@@ -179,14 +196,15 @@ def _contexts(length: int, seed: int):
 
 
 def _with_head(batches: Iterator[list[np.ndarray]]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-    """Sorted rows (two names, doc_id, place), each batch led by the head (first row) of the name that was open, with their marks; the first batch has none."""
+    """Sorted places (two names, doc_id, row, place), each batch led by the head (first row) of the name that was open, with their marks; the first batch has none."""
     head: list[np.ndarray] = []
     for cols in batches:
         if not len(cols[0]):
             continue
         if head:
             cols = [np.concatenate(x) for x in zip(head, cols)]
-        new, again = _marks(*cols)
+        one, two, _, row, at = cols
+        new, again = _marks(one, two, row, at)
         yield cols, new, again
         i = int(np.flatnonzero(new)[-1])
         head = [c[i : i + 1] for c in cols]
@@ -207,12 +225,12 @@ def _ranked(length: int):
                 kind, *cols = _columns(b)
                 n = int(np.searchsorted(kind, 1))
                 if n < len(kind):
-                    _, hi, doc, lo = (c[n:] for c in cols)
-                    known.append(_found(1, doc, lo, hi))
+                    _, hi, _, row, lo = (c[n:] for c in cols)
+                    known.append(_found(1, row, lo, hi))
                 yield [c[:n] for c in cols]
 
         several = False  # the open seed has had more than one context, so its head has been sent
-        for (s, _, d, place), new, again in _with_head(anchors_only()):
+        for (s, _, d, r, place), new, again in _with_head(anchors_only()):
             at, lo, hi = place >> 16, (place >> 8) & 255, place & 255
             lo, hi = at - lo, at - hi
             seed = np.ones(len(s), dtype=bool)
@@ -220,11 +238,11 @@ def _ranked(length: int):
             group = np.cumsum(seed) - 1
             contexts = np.bincount(group, weights=new) + (several * (np.arange(group[-1] + 1) == 0))
             if again.any():
-                yield _found(1, d[again], lo[again], hi[again] + length)
+                yield _found(1, r[again], lo[again], hi[again] + length)
             open_ = new & (contexts[group] > 1)
             open_[0] &= not several
             if open_.any():
-                yield _found(2, d[open_], lo[open_], hi[open_], s[open_])
+                yield _found(2, r[open_], lo[open_], hi[open_], s[open_], d[open_])
             several = bool(contexts[-1] > 1)
             yield from known
             known.clear()
@@ -234,14 +252,14 @@ def _ranked(length: int):
 
 
 def _context_bytes(length: int):
-    """Packed documents with their open anchors to one row for each: seed, doc_id, lo and the context's bytes."""
+    """Packed documents with their open anchors to one row for each: seed, doc_id, row, lo and the context's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unzip = zstandard.ZstdDecompressor()
         for b in batches:
-            for doc, packed, seeds, los, his in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), b.column(4)):
+            for row, doc, packed, seeds, los, his in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4), b.column(5)):
                 raw = unzip.decompress(packed.as_buffer())
                 seed, lo, hi = (x.values.to_numpy() for x in (seeds, los, his))
                 ok = hi + length <= len(raw)
@@ -249,7 +267,7 @@ def _context_bytes(length: int):
                 for i in range(0, len(lo), 50_000):
                     part = slice(i, i + 50_000)
                     texts = [raw[x:y] for x, y in zip(lo[part].tolist(), hi[part].tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(seed[part]), pa.array(np.full(len(texts), doc)), pa.array(lo[part]), pa.array(texts, pa.binary())], ["seed", "doc_id", "lo", "context"])
+                    yield pa.RecordBatch.from_arrays([pa.array(seed[part]), pa.array(np.full(len(texts), doc)), pa.array(np.full(len(texts), row)), pa.array(lo[part]), pa.array(texts, pa.binary())], ["seed", "doc_id", "row", "lo", "context"])
 
     return run
 
@@ -288,23 +306,23 @@ def _resolved(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, large in _by_seed(batches):
             t = t.combine_chunks()
-            doc, lo = t["doc_id"].to_numpy(), t["lo"].to_numpy()
+            doc, rows, lo = (t[c].to_numpy() for c in ("doc_id", "row", "lo"))
             size = pc.binary_length(t["context"]).to_numpy().astype(np.int64)
             data = np.frombuffer(b"".join(t["context"].to_pylist()), dtype=np.uint8)
             off = np.concatenate([[0], np.cumsum(size)])
             count = size - length + 1
-            row = np.repeat(np.arange(len(size)), count)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            begin = off[row] + step
+            i = np.repeat(np.arange(len(size)), count)
+            step = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+            begin = off[i] + step
             one = mix(span_hash(prefix_hash(data, BYTE), begin, begin + length))
             two = mix(span_hash(prefix_hash(data, BYTE2), begin, begin + length))
-            doc, at = doc[row], lo[row] + step
+            doc, row, at = doc[i], rows[i], lo[i] + step
             if large:
-                yield _found(3, doc, at, two, one)
+                yield _found(3, row, at, two, one, doc)
                 continue
-            _, rest = _first_of(one, two, doc, at)
+            _, rest = _first_of(one, two, doc, row, at)
             if len(rest):
-                yield _found(1, *_spans(doc[rest], at[rest], at[rest] + length))
+                yield _found(1, *_spans(row[rest], at[rest], at[rest] + length))
 
     return run
 
@@ -313,15 +331,15 @@ def _repeats(length: int):
     """Sorted strings to the spans of all but the first of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, d, at), _, again in _with_head(map(_columns, batches)):
+        for (_, _, _, r, at), _, again in _with_head(map(_columns, batches)):
             if again.any():
-                yield _found(1, *_spans(d[again], at[again], at[again] + length))
+                yield _found(1, *_spans(r[again], at[again], at[again] + length))
 
     return run
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id and the text's bytes, packed: what the two joins below send."""
+def _packed(docs: DataFrame, more: str = "") -> DataFrame:
+    """row, doc_id and the text's bytes, packed, written as a table; docs: row, doc_id, text and other columns, which ``more`` names as DDL and which stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -330,29 +348,30 @@ def _packed(docs: DataFrame) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
-                data, off = flat(part.column(1))
+                data, off = flat(part.column(2))
                 raw, o = data.tobytes(), off.tolist()
                 packed = [zstd.compress(raw[x:y]) for x, y in zip(o, o[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids_of(part.column(0))), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids_of(part.column(1))), pa.array(packed, pa.binary()), *part.columns[3:]], ["row", "doc_id", "packed", *part.schema.names[3:]])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary")
+    return materialize(docs.mapInArrow(run, "row long, doc_id long, packed binary" + more), "packed")
 
 
-def repeated_spans(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """doc_id, lo, hi of spans whose union is what to remove; docs: doc_id, text."""
+def repeated_spans(packed: DataFrame, length: int, seed: int) -> DataFrame:
+    """row, lo, hi of spans whose union is what to remove; packed: the table of ``_packed``."""
     if length - seed > 255:
         raise ValueError("a seed must be at most 255 bytes shorter than length")
-    sent = docs.mapInArrow(_contexts(length, seed), _ANCHOR).repartition("seed").sortWithinPartitions("kind", "seed", "context", "doc_id", "place")
+    packed = packed.select("row", "doc_id", "packed")
+    sent = packed.mapInArrow(_contexts(length, seed), _ANCHOR).repartition("seed").sortWithinPartitions("kind", "seed", "context", "doc_id", "row", "place")
     ranked = materialize(sent.mapInArrow(_ranked(length), _FOUND), "ranked")
-    open_ = ranked.where("kind = 2").groupBy("doc_id").agg(F.collect_list(F.struct("seed", "lo", "hi")).alias("s")).select("doc_id", *(F.col(f"s.{c}").alias(f"{c}s") for c in ("seed", "lo", "hi")))
-    contexts = _packed(docs).join(open_, "doc_id").select("doc_id", "packed", "seeds", "los", "his").mapInArrow(_context_bytes(length), "seed long, doc_id long, lo long, context binary")
-    resolved = materialize(contexts.repartition("seed").sortWithinPartitions("seed", "doc_id", "lo").mapInArrow(_resolved(length), _FOUND), "resolved")
-    spans = ranked.where("kind = 1").select("doc_id", "lo", "hi").unionAll(resolved.where("kind = 1").select("doc_id", "lo", "hi"))
+    open_ = ranked.where("kind = 2").groupBy("row").agg(F.collect_list(F.struct("seed", "lo", "hi")).alias("s")).select("row", *(F.col(f"s.{c}").alias(f"{c}s") for c in ("seed", "lo", "hi")))
+    contexts = packed.join(open_, "row").select("row", "doc_id", "packed", "seeds", "los", "his").mapInArrow(_context_bytes(length), "seed long, doc_id long, row long, lo long, context binary")
+    resolved = materialize(contexts.repartition("seed").sortWithinPartitions("seed", "doc_id", "row", "lo").mapInArrow(_resolved(length), _FOUND), "resolved")
+    spans = ranked.where("kind = 1").select("row", "lo", "hi").unionAll(resolved.where("kind = 1").select("row", "lo", "hi"))
     large = resolved.where("kind = 3")
     if large.isEmpty():
         return spans
-    names = large.select("seed", "hi", "doc_id", "lo").repartition("seed", "hi").sortWithinPartitions("seed", "hi", "doc_id", "lo")
-    return spans.unionAll(names.mapInArrow(_repeats(length), _FOUND).select("doc_id", "lo", "hi"))
+    names = large.select("seed", "hi", "doc_id", "row", "lo").repartition("seed", "hi").sortWithinPartitions("seed", "hi", "doc_id", "row", "lo")
+    return spans.unionAll(names.mapInArrow(_repeats(length), _FOUND).select("row", "lo", "hi"))
 
 
 def _cut(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -364,11 +383,11 @@ def _cut(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.cumsum(mark)[:-1] > 0
 
 
-def _with_spans(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = repeated_spans(docs, length, seed)
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("s")).select("doc_id", F.col("s.lo").alias("los"), F.col("s.hi").alias("his"))
-    return _packed(docs).join(spans, "doc_id", "left").select("doc_id", "packed", "los", "his")
+def _with_spans(docs: DataFrame, length: int, seed: int, more: str = "") -> DataFrame:
+    """doc_id, packed, los, his and the other columns."""
+    packed = _packed(docs, more)
+    spans = repeated_spans(packed, length, seed).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("s")).select("row", F.col("s.lo").alias("los"), F.col("s.hi").alias("his"))
+    return packed.join(spans, "row", "left").select("doc_id", "packed", "los", "his", *packed.columns[3:])
 
 
 def _each(b: pa.RecordBatch, unzip) -> Iterator[tuple[bytes, np.ndarray]]:
@@ -398,7 +417,8 @@ def dedup(docs: DataFrame, length: int = 100, seed: int = 32) -> DataFrame:
                 digest.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([ids_back(ids_of(b.column(0))), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(docs, length, seed).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _with_spans(keyed, length, seed).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _kept_text(raw: bytes, gone: np.ndarray) -> str:
@@ -415,31 +435,30 @@ def _kept_text(raw: bytes, gone: np.ndarray) -> str:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", length: int = 100, seed: int = 32) -> DataFrame:
     """``docs`` with repeats cut from ``text_col``; a length column, if there is one, follows; null text stays null, all other columns stay.
 
-    Only spans travel by doc_id besides the rows themselves. A character goes only with all
-    its bytes: one that a span cuts stays.
+    A character goes only with all its bytes: one that a span cuts stays.
     """
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spans = repeated_spans(keyed, length, seed).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("s"))
     names = docs.columns
-    inner = [f"_{k}" for k in range(len(names))]
-    at = names.index(text_col)
-    sides = docs.toDF(*inner).withColumn("_id", F.coalesce(F.col(inner[names.index(id_col)]).cast("long"), F.lit(NO_ID)))
-    joined = sides.join(spans.select(F.col("doc_id").alias("_id"), F.col("s.lo").alias("_lo"), F.col("s.hi").alias("_hi")), "_id", "left").select(*inner, "_lo", "_hi")
+    text_at, others = names.index(text_col), [k for k, c in enumerate(names) if c != text_col]
+    inner = docs.toDF(*[f"_{k}" for k in range(len(names))])
+    null = F.col(f"_{text_at}").isNull().alias("_null")
+    keyed = inner.select(F.monotonically_increasing_id().alias("row"), F.col(f"_{names.index(id_col)}").cast("long").alias("doc_id"), F.col(f"_{text_at}").cast("string").alias("text"), null, *[f"_{k}" for k in others])
+    more = ", _null boolean" + "".join(f", _{k} {docs.schema[k].dataType.simpleString()}" for k in others)
     long_at = names.index(length_col) if length_col in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unzip = zstandard.ZstdDecompressor()
         for b in batches:
-            cols = list(b.columns)[:-2]
-            texts, hit = cols[at].to_pylist(), np.zeros(b.num_rows, dtype=bool)
-            for i, (los, his) in enumerate(zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1))):
-                if los.is_valid and texts[i] is not None:
-                    raw = texts[i].encode()
-                    gone = _cut(np.frombuffer(raw, np.uint8), los.values.to_numpy(), his.values.to_numpy())
-                    texts[i], hit[i] = _kept_text(raw, gone), True
-            cols[at] = pa.array(texts, pa.string())
+            texts, hit = [], []
+            for (raw, gone), null in zip(_each(b, unzip), b.column(4).to_pylist()):
+                hit.append(bool(gone.any()))
+                texts.append(None if null else _kept_text(raw, gone))
+            cols = list(b.columns[5:])
+            cols.insert(text_at, pa.array(texts, pa.string()))
             if long_at is not None:
                 n = [len(t) if h else old for t, h, old in zip(texts, hit, cols[long_at].to_pylist())]
-                cols[long_at] = pa.array(n, pa.int64()).cast(b.schema.field(long_at).type)
+                cols[long_at] = pa.array(n, pa.int64()).cast(cols[long_at].type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return _with_spans(keyed, length, seed, more).mapInArrow(run, docs.schema)
