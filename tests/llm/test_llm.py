@@ -110,15 +110,64 @@ def test_packing_awkward(awkward, empty):
     assert packing.pack(empty, vocabulary).count() == 0
 
 
+def neighbour_recall(base, queries_, k=8):
+    """Share of the exact neighbours (all rows against the queries, ties allowed) that the graph has; base: row, doc_id, sketch."""
+    got = base.select("row", "doc_id", "sketch").toArrow()
+    sk = np.frombuffer(b"".join(got["sketch"].to_pylist()), dtype="<u2").reshape(-1, packing.BINS)
+    place = {r: i for i, r in enumerate(got["row"].to_pylist())}
+    found = {r.row: [(place[x.row], x.score) for x in r.near] for r in packing.neighbours(base, k).collect()}
+    hits = total = 0
+    for r, d in zip(got["row"].to_pylist(), got["doc_id"].to_pylist()):
+        if not queries_(d):
+            continue
+        same, score = packing.likeness(np.broadcast_to(sk[place[r]], sk.shape), sk)
+        ok = (same >= packing.FLOOR) | (score > 0.5)
+        ok[place[r]] = False
+        exact = np.sort(score[ok])[::-1][:k]
+        near = found.get(r, [])
+        assert len({i for i, _ in near}) == len(near) <= k and all(ok[i] and abs(score[i] - x) < 1e-6 for i, x in near)
+        total += len(exact)
+        hits += sum(x >= exact[-1] - 1e-6 for _, x in near) if len(exact) else 0
+    return hits / total, total
+
+
+def test_neighbours_recall(spark):
+    """Every fiftieth document of sf0.1 against all of them."""
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    recall, total = neighbour_recall(packing._encoded(table, queries.vocabulary("word_bpe_49k.json"), 2), lambda d: d % 50 == 0)
+    print("recall", recall, "of", total)
+    assert total > 100 and recall >= 0.9
+
+
+def test_neighbours_of_copies_and_edits(spark):
+    """Groups far larger than REACH: every copy has k neighbours, and edits find their likes."""
+    import random
+
+    r = random.Random(8)
+    base = [f"w{r.randint(0, 10**6)}" for _ in range(120)]
+    texts = [" ".join(base)] * 150 + ["", None, "one", "one"]
+    for _ in range(150):
+        w = list(base)
+        for _ in range(r.randint(1, 12)):
+            w[r.randrange(len(w))] = f"e{r.randint(0, 10**6)}"
+        texts.append(" ".join(w))
+    table = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, doc_id long, text string").repartition(3)
+    recall, _ = neighbour_recall(packing._encoded(table, queries.vocabulary("word_bpe_49k.json"), 2), lambda d: True)
+    assert recall >= 0.9
+
+
 def test_walk_keeps_relatives_together():
     rng = np.random.default_rng(3)
-    centre = rng.normal(size=(4, packing.DIMS))
-    v = np.repeat(centre, 10, axis=0) + 0.1 * rng.normal(size=(40, packing.DIMS))
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    order = packing.neighbour_walk(v.astype(np.float32), np.arange(40), 4)
+    links = [{} for _ in range(40)]
+    for a in range(40):
+        for b in rng.choice(10, 5, replace=False) + a // 10 * 10:
+            if a != b:
+                links[a][int(b)] = links[int(b)][a] = 0.9
+    order = packing.neighbour_walk(links, list(range(40)))
     assert sorted(order) == list(range(40))
-    group = np.array(order) // 10
-    assert np.count_nonzero(np.diff(group)) <= 6
+    assert np.count_nonzero(np.diff(np.array(order) // 10)) <= 6
+    # lowest degree first: the lonely node opens, and the walk along a path starts at its end
+    assert packing.neighbour_walk([{1: 0.5}, {0: 0.5, 2: 0.4}, {1: 0.4}, {}], [0, 1, 2, 3]) == [3, 0, 1, 2]
 
 
 # --- op2
