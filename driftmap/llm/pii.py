@@ -4,7 +4,10 @@ Kinds, in order: email, ip, card, phone (the base kinds, whose confirmed spans a
 then iban (mod 97), ssn and secret, which stay if their score reaches ``least``. A card needs
 16 to 19 digits that pass Luhn, an address four parts of at most 255, a phone number 8 to 15
 digits. Spans are code points, end exclusive; those of one kind do not overlap, spans of
-different kinds may. Null text is the empty text; a null doc_id stays null.
+different kinds may. Null text is the empty text (``redacted`` hands null on); a null doc_id stays
+null. Rows are looked at one by one, so repeated rows and ids do no harm; without rows the result
+is empty. ``scan`` does not look at other columns, ``redacted`` keeps them, whatever their names.
+Every search is linear in the text, also over digits or signs without end.
 """
 
 from __future__ import annotations
@@ -69,9 +72,10 @@ class Kind:
     group: int = 0
 
 
+#: An address that fails at the first digit of a run fails at all others, so only run starts are tried.
 KINDS = (
     Kind("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), None, "@", 0.9, ("mail", "contact", "write", "correo", "courriel"), True),
-    Kind("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), _ip, ".", 0.7, ("ip", "host", "server", "address", "login"), True),
+    Kind("ip", re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"), _ip, ".", 0.7, ("ip", "host", "server", "address", "login"), True),
     Kind("card", re.compile(r"[0-9]([\x20-]?[0-9])+"), _card, "", 0.8, ("card", "visa", "mastercard", "credit", "karte", "tarjeta", "carte"), True),
     Kind("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), _phone, "+", 0.7, ("phone", "tel", "call", "mobile", "fax", "telefon"), True),
     Kind("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b"), mod97, "", 0.8, ("iban", "bank", "account", "konto", "cuenta", "compte")),
