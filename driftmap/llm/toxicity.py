@@ -8,16 +8,17 @@
    (its accuracy), and correlations as a tree: every voter may depend on one other besides
    the class (the tree of largest conditional mutual information). It is fitted by
    expectation-maximisation on how often each pattern of votes occurs in the whole corpus (at
-   most 2**voters rows, counted in Spark). Labelled training rows count as extra evidence
-   under a label noise that is estimated along the way.
+   most 2**voters rows, counted in Spark). Labels act through the learned lexicons alone.
 3. The classifier is logistic: votes and hashed words, trained on the label model's posterior
    labels of training rows.
 
 Labels come only from rows whose crc32(doc_id) mod 3 is not 1, and lang, source and doc_id
-are no inputs of a score. At most ``fit_rows`` labelled rows (those with the smallest hashed
-ids) are learned from; everything else is counted over all rows. Null text is the empty
-text. A null doc_id has no label, is not held out and stays null. Without labels the label
-model alone decides.
+are no inputs of a score. Learned from are the labelled rows with the smallest hashed ids, at most
+``fit_rows`` of them and together at most ``fit_bytes`` of text, so what reaches the driver is
+bounded; everything else is counted over all rows. Of rows with one id the smallest text is
+learned from, so runs agree, and each row is scored. Null text is the empty text. A null doc_id has
+no label, is not held out and stays null. Without labels the label model alone decides; without
+rows the result is empty. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import BYTE_LOWER, U, flat, mix, pieces, prefix_hash, span_hash
+from ._common import BYTE_LOWER, U, flat, materialize, mix, pieces, prefix_hash, span_hash
 from .langid import held_out
 
 LEXICONS = {
@@ -111,10 +112,9 @@ class Voters:
 class LabelModel:
     """P(y), and P(vote | y, the voter it depends on)."""
 
-    def fit(self, votes: np.ndarray, weight: np.ndarray, labelled: np.ndarray | None = None, rounds: int = 60) -> LabelModel:
-        """votes: distinct patterns; weight: how often each occurs; labelled: patterns x (label 0, label 1) counts of training rows."""
+    def fit(self, votes: np.ndarray, weight: np.ndarray, rounds: int = 60) -> LabelModel:
+        """votes: distinct patterns; weight: how often each occurs."""
         v, m = votes.astype(np.int64), votes.shape[1]
-        labelled = np.zeros((len(v), 2)) if labelled is None else labelled
         # words decide at first: any lexicon or threat
         first = v[:, : max(1, m - 2)].any(axis=1)
         post = np.where(first, 0.9, 0.02)
@@ -132,9 +132,6 @@ class LabelModel:
                         pick = w * (on == s)
                         # a little evidence that voters rarely vote on clean text, and more often on the other
                         self.rate[j, y, s] = ((pick * v[:, j]).sum() + (0.02, 0.3)[y]) / (pick.sum() + 1)
-            # of the labels: how often clean text is called toxic, and the other way round
-            n1, n0 = (labelled.T * post).sum(axis=1), (labelled.T * (1 - post)).sum(axis=1)
-            self.noise = np.array([(n0[1] + 1) / (n0.sum() + 20), (n1[0] + 1) / (n1.sum() + 20)])
             post = self.posterior(v)
         return self
 
@@ -210,11 +207,16 @@ def _each(texts: pa.Array, voters: Voters) -> Iterator[tuple[np.ndarray, np.ndar
         yield voters.votes(data[off[i] : off[j]], off[i : j + 1] - off[i])
 
 
-def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
-    """toxic, text of at most ``fit_rows`` labelled training rows. Their ids are few enough to be sent to every task."""
+def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_bytes: int) -> DataFrame:
+    """toxic, text of at most ``fit_rows`` labelled training rows and ``fit_bytes`` of text, as a table. Their ids are few enough to be sent to every task."""
     few = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     few = few.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    return docs.join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"]).select("toxic", F.coalesce("text", F.lit("")).alias("text"))
+    held = docs.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    # one task sums at most fit_rows lengths
+    size = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    held = materialize(held, "labelled")
+    fits = held.select("doc_id", size.alias("size")).where(F.col("size") <= fit_bytes).select("doc_id")
+    return held.join(F.broadcast(fits), "doc_id", "left_semi").select("toxic", "text")
 
 
 def _learned(sample: DataFrame, words: int, least: int) -> list[np.ndarray]:
@@ -242,12 +244,12 @@ def _learned(sample: DataFrame, words: int, least: int) -> list[np.ndarray]:
     return [np.sort(h[k::3]) for k in range(3)]
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 10_000, words: int = 300, least: int = 8, threshold: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 10_000, words: int = 300, least: int = 8, threshold: float = 0.7, fit_bytes: int = 1 << 26) -> DataFrame:
     """doc_id, held_out, score, predicted, votes (the names of those that voted)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     sc = docs.sparkSession.sparkContext
-    sample = _sample(docs, labels, fit_rows)
+    sample = _sample(docs, labels, fit_rows, fit_bytes)
     voters = Voters(_learned(sample, words, least))
     m = len(voters.names)
     shared = sc.broadcast(voters)
@@ -277,10 +279,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     votes = (seen[:, None] >> np.arange(m)) & 1
     weight = np.zeros(len(seen))
     weight[np.searchsorted(seen, counted["pattern"].to_numpy())] = counted["n"].to_numpy()
-    labelled = np.zeros((len(seen), 2))
-    if train.num_rows:
-        np.add.at(labelled, (np.searchsorted(seen, train["pattern"].to_numpy()), train["toxic"].to_numpy()), 1)
-    model = LabelModel().fit(votes, weight, labelled) if len(seen) else None
+    model = LabelModel().fit(votes, weight) if len(seen) else None
     if train.num_rows:
         pattern = train["pattern"].to_numpy()
         size = np.array([len(x) for x in train["col"]])
