@@ -140,9 +140,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset and all runs in one process."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="driftmap-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -151,15 +153,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; ``clean`` removes what is written there."""
+    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends there, and lost executors cost nothing."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -167,7 +169,7 @@ _written: list[str] = []
 
 
 def clean(spark: SparkSession) -> None:
-    """Removes the tables that operators wrote so far; call it when their results have been used."""
+    """Removes the tables and files that operators wrote so far; call it when their results have been used."""
     while _written:
         p = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

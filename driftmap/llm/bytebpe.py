@@ -7,7 +7,9 @@ read as Latin-1), keeps it if it is compatible with the token before, tries shor
 otherwise, and steps back past a place from which nothing fits, never to enter it again.
 Each place is left for good at most once, so the time is linear in the bytes.
 
-Null text is the empty text: no ids. A null doc_id stays null; each row is its own document.
+Null text is the empty text: no ids. A null doc_id stays null; each row is its own document, also
+where ids or whole rows are repeated; without rows the result is empty. Other columns are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The pattern whose matches begin with at most one space and never hold a space elsewhere, unless white space meets.
+SPACE_LED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CODECS: dict[tuple[str, str], "BytePairCodec"] = {}
 
 
@@ -33,6 +37,7 @@ class BytePairCodec:
 
         self.ranks, self.most = ranks, most
         self.split = regex.compile(pattern)
+        self.by_space = pattern == SPACE_LED  # any other pattern is applied to the whole text
         self.gaps = regex.compile(r"\s\s")
         size = max(ranks.values()) + 1
         self.token = [b""] * size
@@ -152,7 +157,7 @@ class BytePairCodec:
         """Little-endian uint32 ids, and the same in decimal, one space between."""
         if not text:
             return b"", ""
-        if self.gaps.search(text):
+        if not self.by_space or self.gaps.search(text):
             raw, dec = self._long(text)
             return b"".join(raw), " ".join(dec)
         # Without adjacent white space no match of the pattern reaches over a space, so a

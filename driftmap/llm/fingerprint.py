@@ -9,7 +9,8 @@ collisions of 64-bit hashes.
 
 Words are split at the same characters everywhere in this package (space, \\t-\\r) and are
 lower-cased A-Z. Null text is the empty text; it has an empty sketch. Two empty sketches are
-alike (1), an empty one and any other are not (0).
+alike (1), an empty one and any other are not (0). Rows with one id are documents next to each
+other; without rows the result is empty. Other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ windows that occur twice or more. The bands then reject text that zstandard pack
 fixed chunk of ``CHUNK`` bytes must lie within the limits for its length, and a document
 goes when its whole, or more than a quarter of its chunks, falls outside.
 
-Null text is the empty text: no words, rejected. A null doc_id stays null.
+Null text is the empty text: no words, rejected. A null doc_id stays null. Rows are judged one by
+one, so repeated rows and ids get equal verdicts; without rows the result is empty. ``rules`` does
+not look at other columns, ``kept`` keeps them, whatever their names.
 """
 
 from __future__ import annotations

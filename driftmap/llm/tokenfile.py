@@ -11,7 +11,8 @@ offset, its ids and the planes' sizes); the length of the index; magic.
 Null text is the empty text: its document holds the end id alone. A null doc_id sorts
 first. Rows with the same doc_id stay separate documents, next to each other. A file
 appears under its final name only when it is whole, so a task that is run again after an
-executor was lost writes the same file once more.
+executor was lost writes the same file once more. Without rows there is no file and the result is
+empty. Other columns are not looked at.
 """
 
 from __future__ import annotations
