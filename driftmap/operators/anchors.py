@@ -46,23 +46,25 @@ def expand_co_change(anchors: DataFrame, matrix: DataFrame, min_coupling: float
     """prompt, value, parent, coupling, confidence, place: neighbours that each parent adds.
 
     A parent only claims what no earlier parent and no anchor has, and a claimed neighbour
-    does not use up its quota. Parents are few by contract, so each is one round: an
-    anti-join with what is claimed, a rank, a cut. matrix: anchor, neighbor, coupling, rank.
+    does not use up its quota. A prompt has at most ``most`` parents and a parent the few
+    neighbours of the matrix, so a prompt's candidates are a short array, which one pass cuts to
+    what is claimed. matrix: anchor, neighbor, coupling, rank.
     """
     p = parents(anchors, most)
     m = matrix.where((F.col("coupling") >= min_coupling) & ~F.col("neighbor").rlike(NOISE_PATH)).select(F.col("anchor").alias("value"), "neighbor", "coupling", F.col("rank").alias("nrank"))
     cand = p.join(m, "value").select("prompt", "place", F.col("value").alias("parent"), _weaker(F.col("confidence")).alias("confidence"), F.col("neighbor").alias("value"), "coupling", "nrank")
     claimed = anchors.where("kind = 'path'").select("prompt", "value").distinct()
     cand = cand.join(claimed, ["prompt", "value"], "left_anti")
-    w = Window.partitionBy("prompt").orderBy(F.desc("coupling"), "nrank")
-    out = None
-    for place in range(1, most + 1):
-        mine = cand.where(F.col("place") == place)
-        if out is not None:
-            mine = mine.join(out.select("prompt", "value"), ["prompt", "value"], "left_anti")
-        mine = mine.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_anchor).drop("r")
-        out = mine if out is None else out.unionByName(mine)
-    return out.drop("nrank")
+    row = F.struct("place", (-F.col("coupling")).alias("order"), "nrank", "value", "parent", "confidence", "coupling")
+    groups = cand.groupBy("prompt").agg(F.array_sort(F.collect_list(row)).alias("c"))
+    none = F.filter("c", lambda x: F.lit(False))
+
+    def claim(got: Column, x: Column) -> Column:
+        full = F.size(F.filter(got, lambda y: y["place"] == x["place"])) >= per_anchor
+        return F.when(full | F.exists(got, lambda y: y["value"] == x["value"]), got).otherwise(F.array_append(got, x))
+
+    claimed = groups.select("prompt", F.explode(F.aggregate("c", none, claim)).alias("x"))
+    return claimed.select("prompt", "x.value", "x.parent", "x.coupling", "x.confidence", "x.place")
 
 
 def expand_graph(anchors: DataFrame, edges: DataFrame, kinds: list[str], per_anchor: int = 5) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmap.functions.text import glob_swallow
+from driftmap.session import saved
 
 
 def dedup_edges(edges: DataFrame) -> DataFrame:
@@ -56,6 +57,7 @@ def neighbourhood(edges: DataFrame, centres: DataFrame, hops: int = 2, confidenc
     front = centres.select("center", F.col("center").alias("at")).distinct()
     found = front.join(ends, "at").drop("at").distinct()
     if hops == 2:
+        found = saved(found, "hop")
         seen = found.select("center", F.explode(F.array("src", "dst")).alias("at")).distinct().where("at != center")
         found = found.unionByName(seen.join(ends, "at").drop("at")).distinct()
     return found
@@ -68,6 +70,7 @@ def pruned(sub: DataFrame, node_budget: int, edge_budget: int) -> DataFrame:
     then nodes of high degree, of equals the larger key. Edges of dropped nodes go, then exact
     ones come before inferred ones, by kind.
     """
+    sub = saved(sub, "neighbourhoods")  # read for degrees and for either end of the edges
     degree = sub.select("center", F.explode(F.array("src", "dst")).alias("key")).groupBy("center", "key").agg(F.count("*").alias("degree"))
     w = Window.partitionBy("center").orderBy(F.col("key") != F.col("center"), F.desc("degree"), F.desc("key"))
     ranked = degree.withColumn("r", F.row_number().over(w))

@@ -11,25 +11,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmap.functions.text import NOISE_PATH, path_tokens
+from driftmap.session import saved
 
 K1, B = 1.5, 0.75
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """doc, token, tf; docs: doc, tokens."""
-    return docs.select("doc", F.explode("tokens").alias("token")).groupBy("doc", "token").agg(F.count("*").alias("tf"))
-
-
 def bm25(docs: DataFrame, prompts: DataFrame) -> DataFrame:
-    """prompt, doc, bm25 of every pair that shares a token. docs: doc, tokens; prompts: prompt, tokens."""
-    tf = token_counts(docs)
-    size = docs.select("doc", F.size("tokens").alias("dl"))
+    """prompt, doc, bm25 of every pair that shares a token. docs: doc, tokens; prompts: prompt, tokens.
+
+    Only tokens that some prompt has are counted and shuffled; ``docs`` is best a table that holds its tokens.
+    """
+    q = prompts.select("prompt", F.explode(F.array_distinct("tokens")).alias("token"))
+    size = docs.select("doc", F.size("tokens").alias("dl"), "tokens")
     whole = size.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
+    tf = size.select("doc", "dl", F.explode("tokens").alias("token")).join(q.select("token").distinct(), "token", "left_semi")
+    tf = saved(tf.groupBy("doc", "token", "dl").agg(F.count("*").alias("tf")), "token-counts")
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    q = prompts.select("prompt", F.explode(F.array_distinct("tokens")).alias("token"))
     q = q.join(df, "token").crossJoin(F.broadcast(whole))
     q = q.withColumn("idf", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
-    hit = tf.join(q, "token").join(size, "doc")
+    hit = tf.join(q, "token")
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     return hit.groupBy("prompt", "doc").agg(F.round(F.sum(F.col("idf") * part), 6).alias("bm25"))
 

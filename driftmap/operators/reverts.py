@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmap.functions.text import EXCLUDED_PATH
+from driftmap.session import saved
 
 QUOTED = r'(?s)^\s*Revert "(.*)"\s*\z'
 MENTION = r"(?i)\bthis\s+reverts\s+commit\s+([a-f0-9]{7,40})"
@@ -75,20 +76,25 @@ def revert_links(corpus: DataFrame) -> DataFrame:
     return out.select("revert_sha", "reverted_sha", "resolution", "reverted_at", F.when(days >= 0, days).alias("days_to_revert"), F.coalesce(days < 0, F.lit(False)).alias("days_invalid"))
 
 
-def chains(links: DataFrame, most: int = 64) -> DataFrame:
+def chains(links: DataFrame) -> DataFrame:
     """root, step, id, role of chains of depth two or more; links: id, target, ts.
 
     A root is reverted but reverts nothing itself. From each commit the chain follows the
-    earliest reverter (smallest id of equals). One join for each step, over the chains that
-    still grow; ``most`` steps are a guard against cycles, which strictly earlier targets rule out.
+    earliest reverter (smallest id of equals) to its end, however long. One join for each step,
+    over the chains that still grow; each front is a table, so no step is computed twice. A
+    commit has one target (the smallest, if links name several), so no two steps lead to one
+    commit and no chain can come back to itself.
     """
-    links = links.where("target is not null").select("id", "target", "ts")
+    links = links.where("target is not null").groupBy("id").agg(F.min(F.struct("target", "ts")).alias("m")).select("id", "m.target", "m.ts")
+    links = saved(links, "links")
     nxt = links.groupBy("target").agg(F.min(F.struct("ts", "id")).alias("m")).select("target", F.col("m.id").alias("next"))
     roots = nxt.select(F.col("target").alias("root")).join(links.select(F.col("id").alias("root")), "root", "left_anti")
-    front = roots.select("root", F.lit(0).alias("step"), F.col("root").alias("id"))
-    done = front
-    for step in range(1, most):
-        front = front.join(nxt, front["id"] == nxt["target"]).select("root", F.lit(step).alias("step"), F.col("next").alias("id"))
+    front = saved(roots.select("root", F.lit(0).alias("step"), F.col("root").alias("id")), "front")
+    nxt = saved(nxt, "next")
+    done, step = front, 0
+    while True:
+        step += 1
+        front = saved(front.join(nxt, front["id"] == nxt["target"]).select("root", F.lit(step).alias("step"), F.col("next").alias("id")), "front")
         if front.isEmpty():
             break
         done = done.unionAll(front)

@@ -53,11 +53,10 @@ def lexical_paths(spark: SparkSession, d: str) -> DataFrame:
     return p.distinct()
 
 
-def graph(spark: SparkSession, d: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
+def graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the foreign keys; what a line item ties to its order is inferred, the others are exact.
 
-    ``every``: from every line item, to its supplier and its part, with parts and orders as
-    nodes. Without it only the supplier of an order's first line is an edge.
+    Every line item ties its order to its supplier and to its part.
     """
     r, n, c, s, o, p = (table(spark, d, t) for t in ("region", "nation", "customer", "supplier", "orders", "part"))
     key = lambda kind, col: F.concat(F.lit(f"{kind}:"), F.col(col).cast("string"))
@@ -69,18 +68,16 @@ def graph(spark: SparkSession, d: str, every: bool = False) -> tuple[DataFrame,
         return df.select(key(a, ac).alias("src"), key(b, bc).alias("dst"), F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"))
 
     li = table(spark, d, "lineitem")
-    shipped = li.select("l_orderkey", "l_suppkey").distinct() if every else li.where("l_linenumber = 1")
     nodes = node(r, "region", "r_regionkey", "r_name").unionAll(node(n, "nation", "n_nationkey", "n_name")).unionAll(node(c, "customer", "c_custkey", "c_name")).unionAll(node(s, "supplier", "s_suppkey", "s_name"))
     edges = (
         edge(n, "nation", "n_nationkey", "region", "n_regionkey", "in_region")
         .unionAll(edge(c, "customer", "c_custkey", "nation", "c_nationkey", "lives_in"))
         .unionAll(edge(s, "supplier", "s_suppkey", "nation", "s_nationkey", "based_in"))
         .unionAll(edge(o, "order", "o_orderkey", "customer", "o_custkey", "placed_by"))
-        .unionAll(edge(shipped, "order", "l_orderkey", "supplier", "l_suppkey", "shipped_by", "inferred"))
+        .unionAll(edge(li.select("l_orderkey", "l_suppkey").distinct(), "order", "l_orderkey", "supplier", "l_suppkey", "shipped_by", "inferred"))
     )
-    if every:
-        nodes = nodes.unionAll(node(p, "part", "p_partkey", "p_name")).unionAll(node(o, "order", "o_orderkey", "o_orderkey"))
-        edges = edges.unionAll(edge(li.select("l_orderkey", "l_partkey").distinct(), "order", "l_orderkey", "part", "l_partkey", "contains", "inferred"))
+    nodes = nodes.unionAll(node(p, "part", "p_partkey", "p_name")).unionAll(node(o, "order", "o_orderkey", "o_orderkey"))
+    edges = edges.unionAll(edge(li.select("l_orderkey", "l_partkey").distinct(), "order", "l_orderkey", "part", "l_partkey", "contains", "inferred"))
     return nodes, edges
 
 
@@ -96,18 +93,16 @@ SQL = {
     "nodes": """SELECT 'region:' || r_regionkey AS key, 'region' AS kind, r_name AS name, 'region.' || r_name AS fqcn FROM region
         UNION ALL SELECT 'nation:' || n_nationkey, 'nation', n_name, 'nation.' || n_name FROM nation
         UNION ALL SELECT 'customer:' || c_custkey, 'customer', c_name, 'customer.' || c_name FROM customer
-        UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier', s_name, 'supplier.' || s_name FROM supplier""",
+        UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier', s_name, 'supplier.' || s_name FROM supplier
+        UNION ALL SELECT 'part:' || p_partkey, 'part', p_name, 'part.' || p_name FROM part
+        UNION ALL SELECT 'order:' || o_orderkey, 'order', CAST(o_orderkey AS VARCHAR), 'order.' || o_orderkey FROM orders""",
     "edges": """SELECT 'nation:' || n_nationkey AS src, 'region:' || n_regionkey AS dst, 'in_region' AS kind, 'exact' AS confidence FROM nation
         UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'lives_in', 'exact' FROM customer
         UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'based_in', 'exact' FROM supplier
         UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 'placed_by', 'exact' FROM orders
-        UNION ALL SELECT 'order:' || l_orderkey, 'supplier:' || l_suppkey, 'shipped_by', 'inferred' FROM lineitem WHERE l_linenumber = 1""",
+        UNION ALL SELECT DISTINCT 'order:' || l_orderkey, 'supplier:' || l_suppkey, 'shipped_by', 'inferred' FROM lineitem
+        UNION ALL SELECT DISTINCT 'order:' || l_orderkey, 'part:' || l_partkey, 'contains', 'inferred' FROM lineitem""",
 }
-SQL["nodes_all"] = f"""{SQL["nodes"]} UNION ALL SELECT 'part:' || p_partkey, 'part', p_name, 'part.' || p_name FROM part
-        UNION ALL SELECT 'order:' || o_orderkey, 'order', CAST(o_orderkey AS VARCHAR), 'order.' || o_orderkey FROM orders"""
-SQL["edges_all"] = SQL["edges"].replace("SELECT 'order:' || l_orderkey", "SELECT DISTINCT 'order:' || l_orderkey").replace(" WHERE l_linenumber = 1", "") + """
-        UNION ALL SELECT DISTINCT 'order:' || l_orderkey, 'part:' || l_partkey, 'contains', 'inferred' FROM lineitem"""
-
 
 def sql(names: str, body: str) -> str:
     """``body`` with the named bindings before it, as WITH clauses; a body may add its own."""

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from driftmap.functions import text
 from driftmap.operators import anchors, benchmark, cochange, complexity, graph, plan, render, retrieval
-from driftmap.plans.bindings import AS_OF, SQL, DOC_EPOCH, commits1, graph as fk_graph, lexical_paths, sql, touches1, touches2
+from driftmap.plans.bindings import AS_OF, DOC_EPOCH, commits1, graph as fk_graph, lexical_paths, sql, touches1, touches2
 from driftmap.plans.mining import TOP, VOLATILITY_SQL, matrix2, pairs_sql, risk1
-from driftmap.session import table
+from driftmap.session import saved, table
 from driftmap.streaming import pairs
 
 QUERIES, ORACLE = {}, {}
@@ -26,16 +24,6 @@ def query(oracle: str | None = None):
     return put
 
 
-def whole(f, *cuts: tuple[str, str], **options) -> None:
-    """Registers ``f`` over all its input as NAME_all; its SQL is that of ``f`` with each cut replaced."""
-    name, q = f.__name__, ORACLE[f.__name__]
-    for old, new in cuts:
-        if old not in q:
-            raise ValueError(f"{name}: no {old!r} in its SQL")
-        q = q.replace(old, new)
-    QUERIES[f"{name}_all"], ORACLE[f"{name}_all"] = partial(f, **options), q
-
-
 def _q(p: str) -> str:
     return "'" + p.replace("'", "''") + "'"
 
@@ -161,7 +149,7 @@ def _bm_docs(spark, d):
 
 def _bm_top(spark, d):
     p = table(spark, d, "benchmark").select(F.col("item_id").alias("prompt"), F.col("text").alias("title"), text.corpus_tokens(F.col("text")).alias("tokens"))
-    return retrieval.corpus_scores(_bm_docs(spark, d), p, "2024-01-01 00:00:00")
+    return retrieval.corpus_scores(saved(_bm_docs(spark, d), "tokens"), saved(p, "prompts"), "2024-01-01 00:00:00")
 
 
 def _bm_touches(spark, d):
@@ -263,8 +251,8 @@ def page_routes(spark, d):
 
 
 @query(sql("nodes edges", "SELECT 'node' AS what, kind, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'edge', kind, count(*) FROM edges GROUP BY 2"))
-def graph_stats(spark, d, every=False):
-    return graph.kind_stats(*fk_graph(spark, d, every))
+def graph_stats(spark, d):
+    return graph.kind_stats(*fk_graph(spark, d))
 
 
 _SEARCHES = ["nation:3", "CANADA", "customer.", "Supplier#00", "asia", "1"]
@@ -279,18 +267,16 @@ _SEARCHES = ["nation:3", "CANADA", "customer.", "Supplier#00", "asia", "1"]
         SELECT * FROM (SELECT query, key, tier, row_number() OVER (PARTITION BY query ORDER BY tier, key) AS rank FROM x) WHERE rank <= 20""",
     )
 )
-def graph_search(spark, d, every=False):
+def graph_search(spark, d):
     q = spark.createDataFrame([(x,) for x in _SEARCHES], "query string")
-    return graph.search(fk_graph(spark, d, every)[0], q).withColumn("rank", F.col("rank").cast("long"))
+    return graph.search(fk_graph(spark, d)[0], q).withColumn("rank", F.col("rank").cast("long"))
 
 
-_CENTRES = "SELECT 'customer:' || c_custkey AS center FROM customer WHERE c_nationkey < 5 UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_nationkey < 5"
+_CENTRES = "SELECT 'customer:' || c_custkey AS center FROM customer UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier"
 
 
-def _centres(spark, d, every):
+def _centres(spark, d):
     c, s = table(spark, d, "customer"), table(spark, d, "supplier")
-    if not every:
-        c, s = c.where("c_nationkey < 5"), s.where("s_nationkey < 5")
     a = c.select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("center"))
     return a.unionAll(s.select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string"))))
 
@@ -301,13 +287,13 @@ _HOPS = f"""ce AS ({_CENTRES}), h1 AS (SELECT DISTINCT center, e.* FROM ce JOIN
 
 
 @query(sql("edges", f"WITH {_HOPS} SELECT center, src, dst, kind, confidence FROM h1"))
-def neighbors_1hop(spark, d, every=False):
-    return graph.neighbourhood(fk_graph(spark, d, every)[1], _centres(spark, d, every), 1)
+def neighbors_1hop(spark, d):
+    return graph.neighbourhood(fk_graph(spark, d)[1], _centres(spark, d), 1)
 
 
 @query(sql("edges", f"WITH {_HOPS} SELECT center, kind, count(*) AS edges, count(DISTINCT src) AS sources, min(src) AS first, max(dst) AS last FROM h2 GROUP BY 1, 2"))
-def neighbors_2hop(spark, d, every=False):
-    n = graph.neighbourhood(fk_graph(spark, d, every)[1], _centres(spark, d, every), 2)
+def neighbors_2hop(spark, d):
+    n = graph.neighbourhood(fk_graph(spark, d)[1], _centres(spark, d), 2)
     return n.groupBy("center", "kind").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.min("src").alias("first"), F.max("dst").alias("last"))
 
 
@@ -322,62 +308,57 @@ def neighbors_2hop(spark, d, every=False):
         SELECT center, src, dst, kind, confidence, cut OR n > 8 AS truncated FROM e JOIN ct USING (center) WHERE r <= 8""",
     )
 )
-def neighbors_pruned(spark, d, every=False):
-    return graph.pruned(graph.neighbourhood(fk_graph(spark, d, every)[1], _centres(spark, d, every), 2), 12, 8)
-
-
-# those above keep an order's first line and the centres of five nations, as their SQL does; these take every line, part, order, customer and supplier
-for _f in (graph_search, graph_stats, neighbors_1hop, neighbors_2hop, neighbors_pruned):
-    _cuts = [(SQL[x], SQL[f"{x}_all"]) for x in ("nodes", "edges") if SQL[x] in ORACLE[_f.__name__]]
-    _cuts += [(f" WHERE {x}_nationkey < 5", "") for x in "cs" if _f.__name__.startswith("neighbors")]
-    whole(_f, *_cuts, every=True)
+def neighbors_pruned(spark, d):
+    return graph.pruned(graph.neighbourhood(fk_graph(spark, d)[1], _centres(spark, d), 2), 12, 8)
 
 
-# --- anchors: a prompt for each customer (of a slice, or of all in NAME_all); its explicit anchors are names the customer bought
+# --- anchors: a prompt for each customer; its explicit anchors are names the customer bought
 
 
-_SEEDED = "commit_id % 40 = 7"
-
-
-def _seed_anchors(spark, d, of):
-    t = touches2(spark, d).where(of)
+def _seed_anchors(spark, d):
+    t = touches2(spark, d)
     k = F.pmod(F.ascii("path") + F.length("path"), F.lit(3))
     a = t.select(F.col("commit_id").alias("prompt"), F.col("path").alias("value"), F.when(k == 0, "high").when(k == 1, "medium").otherwise("low").alias("confidence"), F.when(F.length("path") % 2 == 0, "explicit").otherwise("lexical").alias("source"))
     return a.select("prompt", F.lit("path").alias("kind"), "value", "source", "confidence", F.array(F.concat(F.lit("seed "), "value")).alias("evidence"), F.length("value").cast("long").alias("support"), F.col("value").alias("ord"))
 
 
 _SEEDS = """seeds AS (SELECT commit_id AS prompt, path AS value, CASE (ascii(path) + length(path)) % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS conf,
-    CASE WHEN length(path) % 2 = 0 THEN 4 ELSE 2 END AS src, length(path) AS support FROM touches2 WHERE commit_id % 40 = 7)"""
-_PARENTS = "par AS (SELECT * FROM (SELECT prompt, value, conf, row_number() OVER (PARTITION BY prompt ORDER BY conf DESC, src DESC, value) AS place FROM seeds WHERE conf >= 1) WHERE place <= 2)"
-_CAND = """cand AS (SELECT prompt, place, par.value AS parent, conf - 1 AS conf, neighbor AS value, coupling, m.rank AS nrank FROM par JOIN m ON m.anchor = par.value
+    CASE WHEN length(path) % 2 = 0 THEN 4 ELSE 2 END AS src, length(path) AS support FROM touches2)"""
+_PARENTS = "par AS (SELECT * FROM (SELECT prompt, value, conf, row_number() OVER (PARTITION BY prompt ORDER BY conf DESC, src DESC, value) AS place FROM seeds WHERE conf >= 1) WHERE place <= 5)"
+def _round(i: int) -> str:
+    """What parent i adds beyond the parents before it."""
+    before = " UNION ALL ".join(f"SELECT prompt, value FROM r{j}" for j in range(1, i))
+    new = f" AND (prompt, value) NOT IN ({before})" if before else ""
+    return f"r{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY coupling DESC, nrank) AS r FROM cand WHERE place = {i}{new}) WHERE r <= 3)"
+
+
+_CAND = f"""cand AS (SELECT prompt, place, par.value AS parent, conf - 1 AS conf, neighbor AS value, coupling, m.rank AS nrank FROM par JOIN m ON m.anchor = par.value
     WHERE m.rank <= 10 AND coupling >= 0.5 AND (prompt, neighbor) NOT IN (SELECT prompt, value FROM seeds)),
-    r1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY coupling DESC, nrank) AS r FROM cand WHERE place = 1) WHERE r <= 3),
-    r2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY coupling DESC, nrank) AS r FROM cand WHERE place = 2 AND (prompt, value) NOT IN (SELECT prompt, value FROM r1)) WHERE r <= 3),
-    grown AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2)"""
+    {", ".join(_round(i) for i in range(1, 6))}, grown AS ({" UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(1, 6))})"""
 
 
-def _expanded(spark, d, of, most):
-    return anchors.expand_co_change(_seed_anchors(spark, d, of), matrix2(spark, d), most=most)
+def _expanded(spark, d):
+    return anchors.expand_co_change(_seed_anchors(spark, d), matrix2(spark, d))
 
 
 @query(sql("touches2", pairs_sql("touches2", 3, 0.3, None) + f", {TOP}, {_SEEDS}, {_PARENTS}, {_CAND} SELECT prompt, value, parent, place, ['low', 'medium', 'high'][conf + 1] AS confidence, round(coupling, 6) AS coupling FROM grown"))
-def expand_cochange(spark, d, of=_SEEDED, most=2):
-    return _expanded(spark, d, of, most).select("prompt", "value", "parent", F.col("place").cast("long").alias("place"), "confidence", F.round("coupling", 6).alias("coupling"))
+def expand_cochange(spark, d):
+    return _expanded(spark, d).select("prompt", "value", "parent", F.col("place").cast("long").alias("place"), "confidence", F.round("coupling", 6).alias("coupling"))
 
 
 @query()
 def expand_graph(spark, d):
-    _, e = fk_graph(spark, d, True)
+    _, e = fk_graph(spark, d)
     c = table(spark, d, "customer")
     key = F.concat(F.lit("customer:"), F.col("c_custkey").cast("string"))
     a = c.select(F.col("c_nationkey").alias("prompt"), F.lit("symbol").alias("kind"), key.alias("value"), F.lit("high").alias("confidence"), F.col("c_custkey").alias("ord"))
     return anchors.expand_graph(a, e, ["placed_by", "lives_in"])
 
 
-def _ranked(spark, d, of, most):
-    grown = _expanded(spark, d, of, most).select("prompt", F.lit("path").alias("kind"), "value", F.lit("cochange_expand").alias("source"), "confidence", F.array(F.concat(F.lit("with "), "parent")).alias("evidence"), F.lit(0).cast("long").alias("support"), F.col("value").alias("ord"))
-    again = _seed_anchors(spark, d, of).where("support > 20").select("prompt", "kind", "value", F.lit("corpus_match").alias("source"), F.lit("medium").alias("confidence"), F.array(F.lit("again")).alias("evidence"), "support", "ord")
-    return anchors.rank(_seed_anchors(spark, d, of).unionByName(grown).unionByName(again), max_paths=6)
+def _ranked(spark, d):
+    grown = _expanded(spark, d).select("prompt", F.lit("path").alias("kind"), "value", F.lit("cochange_expand").alias("source"), "confidence", F.array(F.concat(F.lit("with "), "parent")).alias("evidence"), F.lit(0).cast("long").alias("support"), F.col("value").alias("ord"))
+    again = _seed_anchors(spark, d).where("support > 20").select("prompt", "kind", "value", F.lit("corpus_match").alias("source"), F.lit("medium").alias("confidence"), F.array(F.lit("again")).alias("evidence"), "support", "ord")
+    return anchors.rank(_seed_anchors(spark, d).unionByName(grown).unionByName(again), max_paths=6)
 
 
 _RANK = """al AS (SELECT prompt, value, src, conf, support, 'seed ' || value AS ev FROM seeds UNION ALL SELECT prompt, value, 1, conf, 0, 'with ' || parent FROM grown
@@ -389,8 +370,8 @@ _NAMES = "['graph_expand', 'cochange_expand', 'lexical', 'corpus_match', 'explic
 
 
 @query(sql("touches2", pairs_sql("touches2", 3, 0.3, None) + f", {TOP}, {_SEEDS}, {_PARENTS}, {_CAND}, {_RANK} SELECT prompt, value, {_NAMES}, evidence, rank, CASE WHEN tr <= 6 THEN tr END AS target_rank FROM rt WHERE rank <= 40"))
-def rank_anchors(spark, d, of=_SEEDED, most=2):
-    r = _ranked(spark, d, of, most)
+def rank_anchors(spark, d):
+    r = _ranked(spark, d)
     return r.select("prompt", "value", "source", "confidence", F.array_join("evidence", "|").alias("evidence"), F.col("rank").cast("long").alias("rank"), F.col("target_rank").cast("long").alias("target_rank"))
 
 
@@ -402,22 +383,12 @@ def rank_anchors(spark, d, of=_SEEDED, most=2):
         SELECT prompt, value, {_NAMES}, rank FROM ok UNION ALL SELECT DISTINCT prompt, 'always here', 'project_config', 'high', -1 FROM rt""",
     )
 )
-def rank_config(spark, d, of=_SEEDED, most=2):
-    r = anchors.apply_config(_ranked(spark, d, of, most), exclude=["antique*"], boosts=[("lexical", "medium", "high")], include=["always here"])
+def rank_config(spark, d):
+    r = anchors.apply_config(saved(_ranked(spark, d), "ranked"), exclude=["antique*"], boosts=[("lexical", "medium", "high")], include=["always here"])
     return r.select("prompt", "value", "source", "confidence", F.col("rank").cast("long").alias("rank"))
 
 
-_ROUND = """r{0} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY coupling DESC, nrank) AS r FROM cand WHERE place = {0} AND (prompt, value) NOT IN ({1})) WHERE r <= 3)"""
-_TWO = "grown AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2)"
-_FIVE = ", ".join(_ROUND.format(i, " UNION ALL ".join(f"SELECT prompt, value FROM r{j}" for j in range(1, i))) for i in (3, 4, 5))
-_FIVE += ", grown AS (" + " UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(1, 6)) + ")"
-
-# the three above take a slice of the customers and two parents, as their SQL does; these take every customer and five parents
-for _f in (expand_cochange, rank_anchors, rank_config):
-    whole(_f, (" WHERE commit_id % 40 = 7", ""), ("place <= 2", "place <= 5"), (_TWO, _FIVE), of="true", most=5)
-
-
-# --- complexity and plans: a plan for each order (of a slice, or of all in NAME_all); its files are the order's parts
+# --- complexity and plans: a plan for each order; its files are the order's parts
 
 
 def _files(spark, d):
@@ -450,30 +421,42 @@ def complexity_profile(spark, d):
     return _profiles(spark, d).select("path", F.col("lines").cast("long").alias("lines"), "reverts", F.array_join("signals", ",").alias("signals"), "risk")
 
 
-def _raw_plans(spark, d, of):
-    li = table(spark, d, "lineitem").where(of)
-    g = li.groupBy(F.col("l_orderkey").alias("plan")).agg(F.sort_array(F.collect_set(F.col("l_partkey").cast("string"))).alias("files"))
-    j = F.to_json(F.struct(F.lit("touch parts").alias("summary"), F.array(F.struct(F.lit("edit src/extra/File.php now").alias("description"), F.col("files").alias("files"))).alias("steps")))
-    return g.select("plan", F.when(F.col("plan") % 20 == 3, j).otherwise(F.concat(F.lit("Change app/p"), F.array_join("files", ".php and app/p"), F.lit(".php soon"))).alias("raw_text"))
+def _raw_plans(spark, d):
+    g = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("plan")).agg(F.sort_array(F.collect_set(F.col("l_partkey").cast("string"))).alias("files"))
+    j = F.to_json(F.struct(F.lit("touch parts").alias("summary"), F.array(F.struct(F.lit("edit src/extra/File.php with OrderLines now").alias("description"), F.col("files").alias("files"))).alias("steps")))
+    return g.select("plan", F.when(F.col("plan") % 2 == 1, j).otherwise(F.concat(F.lit("Change app/p"), F.array_join("files", ".php and app/p"), F.lit(".php through App\\Jobs\\PartJob soon"))).alias("raw_text"))
+
+
+_RAW = "g AS (SELECT l_orderkey AS plan, list_sort(list_distinct(list(CAST(l_partkey AS VARCHAR)))) AS files FROM lineitem GROUP BY 1)"
 
 
 @query(
-    """WITH g AS (SELECT l_orderkey AS plan, list_sort(list_distinct(list(CAST(l_partkey AS VARCHAR)))) AS files FROM lineitem WHERE l_orderkey % 10 = 3 GROUP BY 1)
-    SELECT plan, plan % 20 = 3 AS is_json, array_to_string(CASE WHEN plan % 20 = 3 THEN list_append(files, 'src/extra/File.php') ELSE list_transform(files, lambda f: 'app/p' || f || '.php') END, '|') AS files FROM g"""
+    f"""WITH {_RAW} SELECT plan, plan % 2 = 1 AS is_json, array_to_string(CASE WHEN plan % 2 = 1 THEN list_append(files, 'src/extra/File.php') ELSE list_transform(files, lambda f: 'app/p' || f || '.php') END, '|') AS files,
+    CASE WHEN plan % 2 = 1 THEN 'OrderLines' ELSE 'PartJob' END AS symbols FROM g"""
 )
-def plan_parse(spark, d, of="l_orderkey % 10 = 3"):
-    p = plan.parse(_raw_plans(spark, d, of))
-    return p.select("plan", "is_json", F.array_join("files", "|").alias("files"))
+def plan_parse(spark, d):
+    p = plan.parse(_raw_plans(spark, d))
+    return p.select("plan", "is_json", F.array_join("files", "|").alias("files"), F.array_join(F.array_remove("symbols", "Change"), "|").alias("symbols"))
 
 
-_SLICE = "commit_id % 10 = 3"
+@query(
+    f"""WITH {_RAW}, k AS (SELECT 'app/p' || p_partkey || '.php' AS path FROM part WHERE p_size > 10), c AS (SELECT plan, unnest(files) AS f FROM g),
+    o AS (SELECT plan, count(*) AS n, count(*) FILTER ('app/p' || f || '.php' IN (SELECT path FROM k)) AS hit FROM c GROUP BY 1)
+    SELECT plan, CASE WHEN plan % 2 = 1 THEN n ELSE 0 END AS missing_listed, CASE WHEN plan % 2 = 1 THEN 1 ELSE least(20, n - hit) END AS unresolved_paths,
+    CASE WHEN plan % 2 = 1 THEN 1 ELSE 0 END AS ambiguous_symbols, CASE WHEN plan % 2 = 1 THEN n ELSE hit END AS files, CASE WHEN plan % 2 = 1 THEN 0 ELSE 1 END AS symbols FROM o"""
+)
+def plan_resolve(spark, d):
+    """What of the plans' files and classes a repository has: parts larger than 10, and one class."""
+    k = table(spark, d, "part").where("p_size > 10").select(F.concat(F.lit("app/p"), F.col("p_partkey").cast("string"), F.lit(".php")).alias("path"))
+    c = spark.createDataFrame([("PartJob", "app/Jobs/PartJob.php")], "symbol string, file_path string")
+    return plan.resolved(plan.parse(_raw_plans(spark, d)), k, c)[2]
 
 
-def _planned(spark, d, of):
-    return touches1(spark, d).where(of).select(F.col("commit_id").alias("plan"), "path").distinct()
+def _planned(spark, d):
+    return touches1(spark, d).select(F.col("commit_id").alias("plan"), "path").distinct()
 
 
-_PLANNED = "pl AS (SELECT DISTINCT l_orderkey AS plan, l_partkey AS path FROM lineitem WHERE l_orderkey % 10 = 3)"
+_PLANNED = "pl AS (SELECT DISTINCT l_orderkey AS plan, l_partkey AS path FROM lineitem)"
 
 
 def _risk(spark, d):
@@ -481,34 +464,30 @@ def _risk(spark, d):
 
 
 def _issue_cols(df):
-    paths = F.array_join(F.array_sort(F.transform("paths", lambda p: p.cast("string"))), "|").alias("paths")
-    return df.select("plan", "checker", "severity", F.round("confidence", 6).alias("confidence"), F.col("discriminator").cast("string").alias("discriminator"), paths)
+    return df.select("plan", "checker", "kind", "severity", F.round("confidence", 6).alias("confidence"), "discriminator", F.array_join(F.array_sort("paths"), "|").alias("paths"), F.array_join(F.array_sort("suggested"), "|").alias("suggested"))
 
 
-def _missing_test(spark, d, of):
-    repo = table(spark, d, "part").where("p_size > 25").select((F.col("p_partkey") + 1000).alias("path"))
-    planned = _planned(spark, d, of).unionAll(_planned(spark, d, of).where("path % 5 = 0").select("plan", F.col("path") + 1000))
-    source = planned.where("path <= 1000000")
-    return plan.check_missing_test(source.where("path % 2 = 0"), repo, _risk(spark, d), F.array(F.col("path") + 1000, F.col("path") + 2000))
+#: Where the tests of a part are: a million further on, or two.
+_TEST = 1_000_000
 
 
-_MISSING = """pm AS (SELECT plan, path FROM pl WHERE path % 2 = 0 UNION ALL SELECT plan, path + 1000 FROM pl WHERE path % 5 = 0 AND (path + 1000) % 2 = 0),
-    cm AS (SELECT DISTINCT plan, path, unnest([path + 1000, path + 2000]) AS test FROM pm),
-    om AS (SELECT DISTINCT plan, path FROM cm WHERE (plan, path) NOT IN (SELECT plan, path FROM cm WHERE (plan, test) IN (SELECT plan, path FROM pm))),
-    xm AS (SELECT plan, path, min(test) AS test FROM cm WHERE test IN (SELECT p_partkey + 1000 FROM part WHERE p_size > 25) GROUP BY 1, 2),
-    mt AS (SELECT plan, 'missing_test' AS checker, CASE WHEN test IS NOT NULL OR coalesce(risk_score >= 0.7, false) THEN 'warning' ELSE 'info' END AS severity, CASE WHEN test IS NOT NULL OR coalesce(risk_score >= 0.7, false) THEN 0.8::DOUBLE ELSE 0.3::DOUBLE END AS confidence,
-        CAST(path AS VARCHAR) AS discriminator, array_to_string(list_sort(CASE WHEN test IS NULL THEN [CAST(path AS VARCHAR)] ELSE [CAST(path AS VARCHAR), CAST(test AS VARCHAR)] END), '|') AS paths, 'missing_test' AS kind
-        FROM om LEFT JOIN xm USING (plan, path) LEFT JOIN rk1 USING (path))"""
-_SHOW = "plan, checker, severity, round(confidence, 6) AS confidence, discriminator, paths"
+def _missing_test(spark, d, risk):
+    repo = table(spark, d, "part").where("p_size > 25").select((F.col("p_partkey") + _TEST).alias("path"))
+    planned = _planned(spark, d)
+    planned = planned.unionAll(planned.where("path % 5 = 0").select("plan", F.col("path") + _TEST))
+    return plan.check_missing_test(planned, repo, risk, F.array(F.col("path") + _TEST, F.col("path") + 2 * _TEST), F.col("path") >= _TEST)
 
 
-@query(f"WITH rk1 AS ({_VOL}), {_PLANNED}, {_MISSING} SELECT {_SHOW} FROM mt")
-def check_missing_test(spark, d, of=_SLICE):
-    return _issue_cols(_missing_test(spark, d, of))
+_MISSING = f"""om AS (SELECT plan, path FROM pl WHERE path % 5 <> 0), xm AS (SELECT p_partkey AS path FROM part WHERE p_size > 25),
+    mt AS (SELECT plan, 'missing-test' AS checker, 'missing_test' AS kind, CASE WHEN xm.path IS NOT NULL OR coalesce(risk_score >= 0.7, false) THEN 'warning' ELSE 'info' END AS severity, CASE WHEN xm.path IS NOT NULL OR coalesce(risk_score >= 0.7, false) THEN 0.8::DOUBLE ELSE 0.3::DOUBLE END AS confidence,
+        CAST(om.path AS VARCHAR) AS discriminator, CASE WHEN xm.path IS NOT NULL THEN CAST(om.path + {_TEST} AS VARCHAR) ELSE (om.path + {_TEST}) || '|' || (om.path + {2 * _TEST}) END AS paths, CASE WHEN xm.path IS NOT NULL THEN CAST(om.path + {_TEST} AS VARCHAR) ELSE '' END AS suggested,
+        CASE WHEN xm.path IS NOT NULL THEN 'the plan leaves out the tests of ' ELSE 'no test covers ' END || om.path AS message FROM om LEFT JOIN xm USING (path) LEFT JOIN rk1 ON rk1.path = om.path)"""
+_SHOW = "plan, checker, kind, severity, round(confidence, 6) AS confidence, discriminator, paths, suggested"
 
 
-def _name_plans(spark, d, of):
-    return touches2(spark, d).where(of).select(F.col("commit_id").alias("plan"), "path")
+@query(f"WITH rk1 AS ({_VOL}), {_PLANNED}, {_MISSING} SELECT {_SHOW} FROM mt")
+def check_missing_test(spark, d):
+    return _issue_cols(_missing_test(spark, d, _risk(spark, d)))
 
 
 _NAME_RISK = "nr AS (SELECT DISTINCT p_name AS path, (ascii(p_name) % 10) / 10.0::DOUBLE AS risk_score, (length(p_name) % 4) / 10.0::DOUBLE AS density FROM part)"
@@ -522,37 +501,35 @@ def _name_risk(spark, d):
     sql(
         "touches2",
         pairs_sql("touches2", 3, 0.3, None)
-        + f""", {TOP}, {_NAME_RISK}, pn AS (SELECT commit_id AS plan, path FROM touches2 WHERE commit_id % 60 = 11),
-        g AS (SELECT plan, neighbor, max(coupling) AS coupling, max(joint) AS joint, list_sort(list_distinct(list(pn.path))) AS anchors FROM pn JOIN m ON m.anchor = pn.path AND rank <= 10 AND coupling >= 0.5 AND joint >= 3
-              WHERE (plan, neighbor) NOT IN (SELECT plan, path FROM pn) GROUP BY 1, 2)
-        SELECT plan, 'cochange' AS checker, CASE WHEN coupling >= 0.8 AND joint >= 5 AND (risk_score >= 0.7 OR density >= 0.1) THEN 'critical' WHEN coupling >= 0.65 AND joint >= 5 THEN 'warning' ELSE 'info' END AS severity,
-        round(coupling, 6) AS confidence, neighbor AS discriminator, array_to_string(list_sort(list_append(anchors, neighbor)), '|') AS paths FROM g JOIN nr ON nr.path = neighbor""",
+        + f""", {TOP}, {_NAME_RISK}, pn AS (SELECT commit_id AS plan, path FROM touches2),
+        c AS (SELECT plan, neighbor, coupling, joint, pn.path AS path FROM pn JOIN m ON m.anchor = pn.path AND rank <= 10 AND coupling >= 0.5 AND joint >= 3),
+        g AS (SELECT plan, neighbor, max(coupling) AS coupling, max(joint) AS joint, list_sort(list_distinct(list(c.path))) AS anchors FROM c ANTI JOIN pn ON pn.plan = c.plan AND pn.path = c.neighbor GROUP BY 1, 2),
+        v AS (SELECT *, CASE WHEN coupling >= 0.8 AND joint >= 5 AND (risk_score >= 0.7 OR density >= 0.1) THEN 2 WHEN coupling >= 0.65 AND joint >= 5 THEN 1 ELSE 0 END AS level FROM g JOIN nr ON nr.path = neighbor)
+        SELECT plan, 'cochange' AS checker, 'co_change_gap' AS kind, ['info', 'warning', 'critical'][level + 1] AS severity, [0.4::DOUBLE, 0.6::DOUBLE, 0.85::DOUBLE][level + 1] AS confidence, neighbor AS discriminator, array_to_string(anchors, '|') AS paths, neighbor AS suggested FROM v""",
     )
 )
-def check_cochange(spark, d, of="commit_id % 60 = 11"):
+def check_cochange(spark, d):
     r = _name_risk(spark, d)
-    return _issue_cols(plan.check_cochange(_name_plans(spark, d, of), matrix2(spark, d), r.select("path", "risk_score"), r.select("path", "density")))
-
-
-_REVERT_ISSUES = f"""ri AS (SELECT plan, 'revert' AS checker, CASE WHEN density >= 0.15 AND reverts >= 2 AND epoch(TIMESTAMP '{AS_OF}') - epoch(last_at) <= 540 * 86400 THEN 'critical' WHEN risk_score >= 0.7 THEN 'warning' ELSE 'info' END AS severity,
-    path FROM pl LEFT JOIN rk1 USING (path) LEFT JOIN rv USING (path) WHERE risk_score IS NOT NULL OR reverts IS NOT NULL),
-    rvi AS (SELECT plan, checker, severity, CASE WHEN severity = 'info' THEN 0.4::DOUBLE ELSE 0.9::DOUBLE END AS confidence, CAST(path AS VARCHAR) AS discriminator, CAST(path AS VARCHAR) AS paths, 'revert_risk' AS kind FROM ri)"""
+    planned = touches2(spark, d).select(F.col("commit_id").alias("plan"), "path")
+    return _issue_cols(plan.check_cochange(planned, matrix2(spark, d), r.select("path", "risk_score"), r.select("path", "density")))
 
 
-def _revert_issues(spark, d, of):
-    return plan.check_revert(_planned(spark, d, of), _risk(spark, d), _reverts(spark, d), AS_OF)
+_REVERT_ISSUES = f"""ri AS (SELECT plan, path, CASE WHEN density >= 0.15 AND reverts >= 2 AND epoch(TIMESTAMP '{AS_OF}') - epoch(last_at) <= 540 * 86400 THEN 2 WHEN risk_score >= 0.7 THEN 1 ELSE 0 END AS level
+    FROM pl LEFT JOIN rk1 USING (path) LEFT JOIN rv USING (path) WHERE risk_score IS NOT NULL OR reverts IS NOT NULL),
+    rvi AS (SELECT plan, 'revert' AS checker, 'revert_risk' AS kind, ['info', 'warning', 'critical'][level + 1] AS severity, [0.4::DOUBLE, 0.6::DOUBLE, 0.85::DOUBLE][level + 1] AS confidence, CAST(path AS VARCHAR) AS discriminator, CAST(path AS VARCHAR) AS paths, '' AS suggested, 'unstable history of ' || path AS message FROM ri)"""
 
 
 @query(f"WITH rk1 AS ({_VOL}), {_PLANNED}, {_REVERTS}, {_REVERT_ISSUES} SELECT {_SHOW} FROM rvi")
-def check_revert(spark, d, of=_SLICE):
-    return _issue_cols(_revert_issues(spark, d, of))
+def check_revert(spark, d):
+    return _issue_cols(plan.check_revert(_planned(spark, d), _risk(spark, d), _reverts(spark, d), AS_OF))
 
 
 _RULES = [
-    {"id": "copper-small", "globs": ["STANDARD/**", "SMALL/**/*.php"], "tags": ["security"]},
+    {"id": "copper-small", "title": "Small copper", "globs": ["STANDARD/**", "SMALL/**/*.php"], "tags": ["security"]},
     {"id": "brand-one", "globs": ["*/*/*/Brand1?/*"]},
     {"id": "old", "globs": ["**"], "state": "retired"},
     {"id": "agents-only", "globs": ["**"], "applies_to": ["agent"]},
+    {"id": "elsewhere", "globs": ["**"], "repos": ["other"]},
 ]
 
 
@@ -560,96 +537,99 @@ _RULES = [
     sql(
         "lexical_paths",
         f"""WITH pp AS (SELECT 'plan-' || length(path) % 5 AS plan, path FROM lexical_paths), r AS (SELECT plan, 'copper-small' AS rule, true AS sec, path FROM pp WHERE regexp_matches(path, {_q(text.glob_plain("STANDARD/**"))}) OR regexp_matches(path, {_q(text.glob_plain("SMALL/**/*.php"))})
-        UNION ALL SELECT plan, 'brand-one', false, path FROM pp WHERE regexp_matches(path, {_q(text.glob_plain("*/*/*/Brand1?/*"))}))
-        SELECT plan, 'rule' AS checker, 'warning' AS severity, CASE WHEN sec THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS confidence, rule AS discriminator, array_to_string(list_sort(list_distinct(list(path))), '|') AS paths FROM r GROUP BY plan, rule, sec""",
+        UNION ALL SELECT plan, 'brand-one', false, path FROM pp WHERE regexp_matches(path, {_q(text.glob_plain("*/*/*/Brand1?/*"))})), g AS (SELECT plan, rule, sec, list_sort(list_distinct(list(path))) AS paths FROM r GROUP BY 1, 2, 3)
+        SELECT plan, 'rule' AS checker, 'rule_risk' AS kind, 'warning' AS severity, CASE WHEN sec THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS confidence, rule || ':' || paths[1] AS discriminator, array_to_string(paths[1:10], '|') AS paths, '' AS suggested FROM g""",
     )
 )
 def check_rule(spark, d):
     p = lexical_paths(spark, d).select(F.concat(F.lit("plan-"), (F.length("path") % 5).cast("string")).alias("plan"), "path")
-    return _issue_cols(plan.check_rule(p, _RULES))
+    return _issue_cols(plan.check_rule(p, _RULES, "here"))
 
 
 def _structure(spark, d):
-    """Suppliers as files; a nation ties its suppliers: events to the next supplier key, inheritance to the nation's first."""
+    """Each supplier is a plan of its own file; it sends events to the next supplier, extends the nation's first one and observes its nation, which no file defines."""
     s = table(spark, d, "supplier")
-    key = lambda c: F.concat(F.lit("supplier:"), F.col(c).cast("string"))
-    nodes = s.select(key("s_suppkey").alias("key"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("file_path"))
+    key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    file = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    nodes = s.select(key("supplier", "s_suppkey").alias("key"), file.alias("file_path")).unionAll(table(spark, d, "nation").select(key("nation", "n_nationkey"), F.lit(None).cast("string")))
     first = s.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("first"))
-    e1 = s.select(key("s_suppkey").alias("src"), F.concat(F.lit("supplier:"), (F.col("s_suppkey") + 1).cast("string")).alias("dst"), F.lit("emits_event").alias("kind"))
-    e2 = s.join(first, "s_nationkey").select(key("s_suppkey").alias("src"), key("first").alias("dst"), F.lit("extends").alias("kind"))
-    planned = s.where("s_suppkey % 4 = 1").select(F.col("s_nationkey").alias("plan"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("path"))
-    return planned, nodes, e1.unionAll(e2)
+    e = s.join(first, "s_nationkey").withColumn("next", F.col("s_suppkey") + 1)
+    edge = lambda to, kind: e.select(key("supplier", "s_suppkey").alias("src"), to.alias("dst"), F.lit(kind).alias("kind"))
+    edges = edge(key("supplier", "next"), "emits_event").unionAll(edge(key("supplier", "first"), "extends")).unionAll(edge(key("nation", "s_nationkey"), "observes_model")).unionAll(edge(key("nation", "s_nationkey"), "binds_service"))
+    return s.select(F.col("s_suppkey").alias("plan"), file.alias("path")), nodes, edges
 
 
 @query(
-    """WITH f AS (SELECT s_nationkey AS plan, s_suppkey AS k FROM supplier WHERE s_suppkey % 4 = 1), e AS (SELECT s_suppkey AS a, s_suppkey + 1 AS b, 1 AS lv FROM supplier
-        UNION ALL SELECT s_suppkey, min(s_suppkey) OVER (PARTITION BY s_nationkey), 0 FROM supplier),
-    g AS (SELECT plan, k, CASE WHEN a = k THEN b ELSE a END AS gap, lv FROM f JOIN e ON a = k OR b = k),
-    h AS (SELECT plan, gap, max(lv) AS lv, list_distinct(list('s' || k)) AS src FROM g WHERE (plan, gap) NOT IN (SELECT plan, k FROM f) AND gap IN (SELECT s_suppkey FROM supplier) GROUP BY 1, 2)
-    SELECT plan, 'structural_gap' AS checker, CASE WHEN lv = 1 THEN 'warning' ELSE 'info' END AS severity, 0.6::DOUBLE AS confidence, 's' || gap AS discriminator, array_to_string(list_sort(list_append(src, 's' || gap)), '|') AS paths FROM h"""
+    """WITH e AS (SELECT s_suppkey AS a, s_suppkey + 1 AS b, 1 AS effect FROM supplier UNION ALL SELECT s_suppkey, min(s_suppkey) OVER (PARTITION BY s_nationkey), 0 FROM supplier),
+    g AS (SELECT a AS plan, b AS other, effect FROM e UNION ALL SELECT b, a, effect FROM e),
+    h AS (SELECT plan, CASE WHEN other IN (SELECT s_suppkey FROM supplier) THEN 's' ELSE 'node:supplier:' END || other AS gap, effect FROM g WHERE plan IN (SELECT s_suppkey FROM supplier) AND plan <> other
+        UNION ALL SELECT s_suppkey, 'node:nation:' || s_nationkey, 1 FROM supplier),
+    m AS (SELECT plan, gap, max(effect) AS effect FROM h GROUP BY 1, 2)
+    SELECT plan, 'structural-gap' AS checker, 'structural_gap' AS kind, CASE WHEN effect = 1 THEN 'warning' ELSE 'info' END AS severity, CASE WHEN effect = 1 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS confidence, gap AS discriminator,
+    CASE WHEN starts_with(gap, 'node:') THEN '' ELSE gap END AS paths, CASE WHEN starts_with(gap, 'node:') THEN '' ELSE gap END AS suggested FROM m"""
 )
 def check_structural(spark, d):
     return _issue_cols(plan.check_structural(*_structure(spark, d)))
 
 
-_COMPLEX = """cx AS (SELECT plan, 'complexity' AS checker, CASE WHEN risk = 'high' THEN 'warning' ELSE 'info' END AS severity, CASE WHEN risk = 'high' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS confidence,
-    CAST(path AS VARCHAR) AS discriminator, CAST(path AS VARCHAR) AS paths, 'structural_gap' AS kind FROM pl JOIN pr USING (path) WHERE risk <> 'low')"""
+_COMPLEX = """cx AS (SELECT plan, 'complexity' AS checker, 'structural_gap' AS kind, CASE WHEN risk = 'high' THEN 'warning' ELSE 'info' END AS severity, CASE WHEN risk = 'high' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS confidence,
+    CAST(path AS VARCHAR) AS discriminator, CAST(path AS VARCHAR) AS paths, '' AS suggested, path || ' is complex' AS message FROM pl JOIN pr USING (path) WHERE risk <> 'low')"""
 
 
 @query(f"WITH {_PROFILE}, {_PLANNED}, {_COMPLEX} SELECT {_SHOW} FROM cx")
-def check_complexity(spark, d, of=_SLICE):
-    return _issue_cols(plan.check_complexity(_planned(spark, d, of), _profiles(spark, d)))
+def check_complexity(spark, d):
+    return _issue_cols(plan.check_complexity(_planned(spark, d), _profiles(spark, d)))
 
 
-def _all_issues(spark, d, of):
-    parts = [_missing_test(spark, d, of), _revert_issues(spark, d, of), plan.check_complexity(_planned(spark, d, of), _profiles(spark, d))]
-    cast = lambda i: i.withColumn("discriminator", F.col("discriminator").cast("string")).withColumn("paths", F.transform("paths", lambda p: p.cast("string")))
-    issues = cast(parts[0]).unionByName(cast(parts[1])).unionByName(cast(parts[2]))
-    plans = _planned(spark, d, of).select("plan").distinct()
+def _all_issues(spark, d):
+    """Plans, raw issues and ranked issues of three checkers; the volatility behind them is computed once."""
+    vol = saved(risk1(spark, d).select("path", "commits", "bug_fix_density", "risk_score"), "risk")
+    planned, risk, reverts = _planned(spark, d), vol.select("path", "risk_score"), _reverts(spark, d)
+    raw = _missing_test(spark, d, risk).unionByName(plan.check_revert(planned, risk, reverts, AS_OF)).unionByName(plan.check_complexity(planned, complexity.profile(_files(spark, d), vol, reverts)))
+    raw = saved(raw, "issues")
+    plans = planned.select("plan").distinct()
     flags = plans.where("plan % 30 = 3").select("plan", F.lit("we know about every revert_risk").alias("flag"))
-    quiet = plans.where("plan % 30 = 13").select("plan", F.lit("missing_test").alias("what"))
-    return plans, plan.dedup_sort(plan.suppress(plan.dampen(issues, flags), quiet))
+    quiet = plans.where("plan % 30 = 13").select("plan", F.lit("kind").alias("what"), F.lit("missing_test").alias("value")).unionAll(plans.where("plan % 30 = 14").select("plan", F.lit("path"), F.lit("7")))
+    return plans, raw, plan.dedup_sort(plan.suppress(plan.dampen(raw, flags), quiet)), quiet
 
 
 _ALL = f"""WITH {_PROFILE}, {_PLANNED}, {_MISSING}, {_REVERT_ISSUES}, {_COMPLEX},
     ai AS (SELECT * FROM mt UNION ALL SELECT * FROM rvi UNION ALL SELECT * FROM cx),
-    dm AS (SELECT * REPLACE (CASE WHEN plan % 30 = 3 AND kind = 'revert_risk' THEN 'info' ELSE severity END AS severity) FROM ai WHERE NOT (plan % 30 = 13 AND kind = 'missing_test')),
-    ms AS (SELECT *, CASE checker WHEN 'revert' THEN 'history of ' || discriminator WHEN 'complexity' THEN discriminator || ' is complex' ELSE
-        CASE WHEN contains(paths, '|') THEN 'the plan leaves out the test ' || array_to_string(list_filter(string_split(paths, '|'), lambda x: x <> discriminator), '') || ' of ' || discriminator ELSE 'no test covers ' || discriminator END END AS message FROM dm),
-    iss AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY CASE severity WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END DESC, checker, message) AS rank FROM ms)"""
+    dm AS (SELECT * REPLACE (CASE WHEN plan % 30 = 3 AND kind = 'revert_risk' THEN 'info' ELSE severity END AS severity) FROM ai WHERE NOT (plan % 30 = 13 AND kind = 'missing_test') AND NOT (plan % 30 = 14 AND list_contains(string_split(paths, '|'), '7'))),
+    iss AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY CASE severity WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END DESC, checker, message) AS rank FROM dm)"""
 
 
 @query(
-    f"""{_ALL}, a AS (SELECT plan, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'warning') AS w, count(*) FILTER (severity = 'warning' AND confidence >= 0.9) AS act,
-        count(*) FILTER (severity = 'warning' AND checker IN ('missing_test', 'cochange')) AS s, count(DISTINCT checker) FILTER (severity = 'warning' AND checker IN ('missing_test', 'cochange')) AS sc FROM iss GROUP BY 1)
-    SELECT plan, coalesce(c, 0) AS criticals, coalesce(w, 0) AS warnings, coalesce(act, 0) AS actionable, CASE WHEN c > 0 OR act >= 3 OR (s >= 2 AND sc >= 2) THEN 'revise' ELSE 'pass' END AS verdict FROM (SELECT DISTINCT plan FROM pl) LEFT JOIN a USING (plan)"""
+    f"""{_ALL}, a AS (SELECT plan, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'warning') AS w, count(*) FILTER (severity = 'warning' AND (kind <> 'rule_risk' OR confidence >= 0.9)) AS act,
+        count(DISTINCT checker) FILTER (severity = 'warning' AND checker IN ('missing-test', 'cochange')) AS strong FROM iss GROUP BY 1)
+    SELECT plan, coalesce(c, 0) AS criticals, coalesce(w, 0) AS warnings, coalesce(act, 0) AS actionable, coalesce(strong, 0) AS strong, CASE WHEN c > 0 OR act >= 3 OR (act >= 2 AND strong >= 2) THEN 'revise' ELSE 'pass' END AS verdict FROM (SELECT DISTINCT plan FROM pl) LEFT JOIN a USING (plan)"""
 )
-def plan_verdict(spark, d, of=_SLICE):
-    return plan.verdicts(*_all_issues(spark, d, of))
+def plan_verdict(spark, d):
+    plans, _, issues, _ = _all_issues(spark, d)
+    return plan.verdicts(plans, issues)
 
 
 @query(
-    f"""{_ALL} SELECT plan, path, max(CASE severity WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) AS level FROM (SELECT plan, severity, unnest(string_split(paths, '|')) AS path FROM iss)
-    WHERE (plan, path) NOT IN (SELECT plan, CAST(path AS VARCHAR) FROM pl) GROUP BY 1, 2"""
+    f"""{_ALL}, s AS (SELECT plan, suggested AS path, 0 AS level FROM ai WHERE suggested <> '' AND NOT (plan % 30 = 14 AND suggested = '7') UNION ALL SELECT plan, unnest(string_split(paths, '|')), CASE severity WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END FROM iss)
+    SELECT plan, path, max(level) AS level, row_number() OVER (PARTITION BY plan ORDER BY max(level) DESC, path) AS place FROM s GROUP BY 1, 2"""
 )
-def plan_suggest(spark, d, of=_SLICE):
-    _, i = _all_issues(spark, d, of)
-    return plan.suggestions(i, _planned(spark, d, of).withColumn("path", F.col("path").cast("string")))
+def plan_suggest(spark, d):
+    _, raw, issues, quiet = _all_issues(spark, d)
+    return plan.suggestions(raw, issues, quiet).withColumn("place", F.col("place").cast("long"))
 
 
 @query(
     f"""{_ALL}, c AS (SELECT *, row_number() OVER (PARTITION BY plan, checker ORDER BY rank) AS pc FROM iss WHERE severity <> 'info'), o AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY rank) AS place FROM c WHERE pc <= 3)
     SELECT plan, checker, severity, discriminator, place FROM o WHERE place <= 8"""
 )
-def plan_rerun_select(spark, d, of=_SLICE):
-    _, i = _all_issues(spark, d, of)
-    return plan.rerun_selection(i).select("plan", "checker", "severity", "discriminator", F.col("place").cast("long").alias("place"))
+def plan_rerun_select(spark, d):
+    return plan.rerun_selection(_all_issues(spark, d)[2]).select("plan", "checker", "severity", "discriminator", F.col("place").cast("long").alias("place"))
 
 
-# the queries above are slices, as their SQL is; these take every order, every customer
-for _f in (plan_parse, check_missing_test, check_revert, check_complexity, plan_verdict, plan_suggest, plan_rerun_select):
-    whole(_f, (" WHERE l_orderkey % 10 = 3", ""), of="true")
-whole(check_cochange, (" WHERE commit_id % 60 = 11", ""), of="true")
+@query(f"{_ALL} SELECT plan, path, array_to_string(list_sort(list(rank)), ',') AS ranks FROM (SELECT plan, rank, unnest(string_split(paths, '|')) AS path FROM iss) GROUP BY 1, 2")
+def plan_by_path(spark, d):
+    """The issues of each path of each plan, by rank."""
+    return plan.by_path(_all_issues(spark, d)[2]).select("plan", "path", F.array_join(F.transform("ranks", lambda r: r.cast("string")), ",").alias("ranks"))
 
 
 # --- benchmark: an order is a sample, its first part the query, the others the truth
@@ -716,7 +696,7 @@ def signals_block(spark, d):
 @query()
 def worker_pack(spark, d):
     """Targets, signals and warnings of each plan, as text."""
-    _, issues = _all_issues(spark, d, "true")
+    issues = _all_issues(spark, d)[2]
     m = cochange.co_change(touches1(spark, d), min_joint=2, min_coupling=0.05, exclude=None)
     p = render.worker_pack(_targets(spark, d).withColumnRenamed("prompt", "plan"), issues, risk1(spark, d), m, _reverts(spark, d))
     return p.select("plan", F.array_join("targets", ",").alias("targets"), "markdown")
@@ -724,7 +704,7 @@ def worker_pack(spark, d):
 
 @query()
 def subgraph_render(spark, d):
-    n = graph.pruned(graph.neighbourhood(fk_graph(spark, d, True)[1], _centres(spark, d, True), 2), 12, 8)
+    n = graph.pruned(graph.neighbourhood(fk_graph(spark, d)[1], _centres(spark, d), 2), 12, 8)
     return render.subgraph_block(n)
 
 

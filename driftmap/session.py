@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import sys
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -44,6 +47,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: list[str] = []
+_written: list[str] = []
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the folder that spark.checkpoint.dir names: what is used several times is computed once, and lost executors cost nothing.
+
+    In a local session without that setting the folder is one of our own.
+    """
+    spark = df.sparkSession
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="driftmap-tables-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        at = f"file://{_own[0]}"
+    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes the tables that ``saved`` wrote so far; call it when the results that read them have been used."""
+    while _written:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 _shipped: set[str] = set()
 
 

@@ -308,37 +308,45 @@ def test_profile(spark):
 def test_plan_parse(spark):
     j = '{"summary": "do App\\\\Cart", "steps": [{"description": "edit app/B.php", "files": ["./app/A.php", null]}, {}], "riskFlags": ["x"]}'
     rows = {r.plan: r for r in plan.parse(spark.createDataFrame([(1, j), (2, "change app/C.php"), (3, ""), (4, "{bad")], "plan long, raw_text string")).collect()}
-    assert rows[1].files == ["app/A.php", "app/B.php"] and rows[1].is_json and rows[1].risk_flags == ["x"] and "App\\Cart" in rows[1].symbols
+    assert rows[1].files == ["app/A.php", "app/B.php"] and rows[1].is_json and rows[1].risk_flags == ["x"] and rows[1].listed == ["app/A.php"]
+    j = '{"summary": "Use App\\\\Models\\\\Cart and CartService, then Check OrderJob", "riskFlags": ["app/Z.php"]}'
+    assert plan.parse(spark.createDataFrame([(1, j)], "plan long, raw_text string")).first().symbols == ["Cart", "Models", "CartService", "OrderJob"][:2] + ["CartService", "OrderJob"]
     assert rows[2].files == ["app/C.php"] and rows[3].files == [] and not rows[4].is_json
 
 
 def issue(plan_, checker, severity, confidence, disc, kind="k"):
-    return (plan_, checker, kind, severity, confidence, disc, f"m {disc}", [disc])
+    return (plan_, checker, kind, severity, confidence, disc, disc if checker == "rule" else None, f"m {disc}", [disc])
 
 
-I = "plan long, checker string, kind string, severity string, confidence double, discriminator string, message string, paths array<string>"  # noqa: E741
+I = "plan long, checker string, kind string, severity string, confidence double, discriminator string, rule string, message string, paths array<string>"  # noqa: E741
 
 
 def test_verdicts(spark):
-    rows = [issue(1, "cochange", "critical", 0.5, "a"), issue(2, "cochange", "warning", 0.8, "a"), issue(2, "missing_test", "warning", 0.8, "b"), issue(3, "cochange", "warning", 0.8, "a"), issue(3, "cochange", "warning", 0.8, "b")]
-    rows += [issue(4, "revert", "warning", 0.9, x) for x in "abc"] + [issue(5, "rule", "warning", 0.7, x) for x in "abcd"]
-    plans = spark.createDataFrame([(i,) for i in range(1, 7)], "plan long")
+    rows = [issue(1, "cochange", "critical", 0.5, "a"), issue(2, "cochange", "warning", 0.4, "a"), issue(2, "missing-test", "warning", 0.8, "b"), issue(3, "cochange", "warning", 0.8, "a"), issue(3, "cochange", "warning", 0.8, "b")]
+    # any warning counts, whatever its confidence, but a rule's below .9
+    rows += [issue(4, "revert", "warning", 0.6, x) for x in "abc"] + [issue(5, "rule", "warning", 0.7, x, "rule_risk") for x in "abcd"]
+    rows += [issue(7, "rule", "warning", 0.9, x, "rule_risk") for x in "abc"] + [issue(8, "revert", "warning", 0.6, "a"), issue(8, "missing-test", "warning", 0.8, "b")]
+    plans = spark.createDataFrame([(i,) for i in range(1, 9)], "plan long")
     got = {r.plan: r.verdict for r in plan.verdicts(plans, plan.dedup_sort(spark.createDataFrame(rows, I))).collect()}
-    assert got == {1: "revise", 2: "revise", 3: "pass", 4: "revise", 5: "pass", 6: "pass"}
+    assert got == {1: "revise", 2: "revise", 3: "pass", 4: "revise", 5: "pass", 6: "pass", 7: "revise", 8: "pass"}
+    lenient = plan.verdicts(plans, spark.createDataFrame(rows, I), lambda: F.when(F.col("criticals") > 0, "stop").otherwise("go"))
+    assert {r.plan: r.verdict for r in lenient.collect()} == {i: "stop" if i == 1 else "go" for i in range(1, 9)}
 
 
 def test_dampen_suppress_dedup(spark):
-    i = spark.createDataFrame([issue(1, "cochange", "critical", 1.0, "a.php"), issue(1, "cochange", "warning", 1.0, "b.php"), issue(1, "rule", "warning", 0.5, "r1"), issue(1, "rule", "warning", 0.5, "r1")], I)
-    flags = spark.createDataFrame([(1, "a.php is one")], "plan long, flag string")
-    quiet = spark.createDataFrame([(1, "b.php")], "plan long, what string")
-    got = plan.dedup_sort(plan.suppress(plan.dampen(i, flags), quiet)).orderBy("rank").collect()
-    assert [(r.discriminator, r.severity) for r in got] == [("r1", "warning"), ("a.php", "info")]
+    names = ["app/a.php", "app/b.php", "app/Cart.php", "app/sub/123.php", "app/12.php"]
+    i = spark.createDataFrame([issue(1, "cochange", "critical", 1.0, n) for n in names] + [issue(1, "rule", "warning", 0.5, r) for r in ("rule-x", "rule-x", "rule-y", "r1")] + [issue(1, "revert", "warning", 0.6, "k", "revert_risk"), issue(2, "revert", "warning", 0.6, "k", "revert_risk")], I)
+    # a path, a class, a rule and a kind are named; app/12 is no name for app/12.php, nor r1 for a rule
+    flags = spark.createDataFrame([(1, "app/a.php is one, Cart too"), (1, "see RULE-X and revert_risk, app/12 and r1")], "plan long, flag string")
+    quiet = spark.createDataFrame([(1, "path", "app/b.php"), (1, "rule", "rule-y"), (2, "kind", "revert_risk")], "plan long, what string, value string")
+    got = {(r.plan, r.discriminator): r.severity for r in plan.dedup_sort(plan.suppress(plan.dampen(i, flags), quiet)).collect()}
+    assert got == {(1, "app/a.php"): "info", (1, "app/Cart.php"): "info", (1, "app/sub/123.php"): "critical", (1, "app/12.php"): "critical", (1, "rule-x"): "info", (1, "r1"): "warning", (1, "k"): "info"}
 
 
 def test_rerun_selection_caps(spark):
-    rows = [issue(1, c, "warning", 0.5, f"{c}{i}") for c in ("cochange", "missing_test", "revert") for i in range(5)]
+    rows = [issue(1, c, "warning", 0.5, f"{c}{i}") for c in ("cochange", "missing-test", "revert") for i in range(5)]
     got = plan.rerun_selection(plan.dedup_sort(spark.createDataFrame(rows, I))).collect()
-    assert len(got) == 8 and max(sum(r.checker == c for r in got) for c in ("cochange", "missing_test", "revert")) == 3
+    assert len(got) == 8 and max(sum(r.checker == c for r in got) for c in ("cochange", "missing-test", "revert")) == 3
 
 
 def test_validate_end_to_end(spark):
@@ -353,12 +361,22 @@ def test_validate_end_to_end(spark):
     edges = spark.createDataFrame([("class:Cart", "job:Send", "dispatches_job")], "src string, dst string, kind string")
     rules = [{"id": "r", "globs": ["app/**"], "tags": ["security"]}]
     tests = F.array(F.regexp_replace("path", r"^app/(\w+)\.php$", "tests/$1Test.php"))
-    issues, verdict = plan.validate(plans, repo, matrix, risk, rv, prof, nodes, edges, rules, tests, str(at(100)))
+    issues, verdict, suggested = plan.validate(plans, repo, matrix, risk, rv, prof, nodes, edges, rules, tests, str(at(100)))
     rows = issues.collect()
-    assert {r.checker for r in rows} == set(plan.CHECKERS) and {r.plan for r in rows} == {1}
+    assert {r.checker for r in rows if r.plan == 1} == set(plan.CHECKERS) and [r.kind for r in rows if r.plan == 2] == ["validation_limited"]
+    found = {r.checker: (r.kind, r.severity, r.confidence, r.discriminator, r.paths) for r in rows if r.plan == 1}
+    assert found == {
+        "missing-test": ("missing_test", "warning", 0.8, "app/Cart.php", ["tests/CartTest.php"]),
+        "cochange": ("co_change_gap", "critical", 0.85, "app/Total.php", ["app/Cart.php"]),
+        "revert": ("revert_risk", "critical", 0.85, "app/Cart.php", ["app/Cart.php"]),
+        "rule": ("rule_risk", "warning", 0.7, "r:app/Cart.php", ["app/Cart.php"]),
+        "structural-gap": ("structural_gap", "warning", 0.6, "app/Send.php", ["app/Send.php"]),
+        "complexity": ("structural_gap", "warning", 0.7, "app/Cart.php", ["app/Cart.php"]),
+    }
     assert {r.plan: r.verdict for r in verdict.collect()} == {1: "revise", 2: "pass"}
-    assert {r.path for r in plan.suggestions(issues, plan.plan_files(plan.parse(plans))).collect()} == {"app/Total.php", "app/Send.php", "tests/CartTest.php"}
-    back = render.rerun_prompt(plan.rerun_selection(issues), plan.suggestions(issues, plan.plan_files(plan.parse(plans))), plans).collect()
+    assert {r.path: r.level for r in suggested.collect()} == {"app/Total.php": 0, "app/Send.php": 1, "tests/CartTest.php": 1, "app/Cart.php": 2}
+    assert plan.by_path(issues).where("path = 'app/Cart.php'").first().ranks == sorted(r.rank for r in rows if r.plan == 1 and "app/Cart.php" in r.paths)
+    back = render.rerun_prompt(plan.rerun_selection(issues), suggested, plans).collect()
     assert len(back) == 1 and "app/Total.php" in back[0].feedback
 
 
@@ -532,3 +550,38 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = pairs.basket_pairs(pairs.closed_baskets(df))
     key = lambda d: sorted((r.start, r.owner, r.a, r.b) for r in d.collect())
     assert key(spark.table("closed")) == key(batch) and batch.count() > 0
+
+
+def test_structural_gap_without_a_file(spark):
+    planned = spark.createDataFrame([(1, "app/A.php")], "plan long, path string")
+    nodes = spark.createDataFrame([("class:A", "app/A.php"), ("event:E", None), ("class:B", "app/B.php"), ("class:F", "tests/fixtures/F.php"), ("class:S", "app/S.php"), ("job:J", "app/J.php")], "key string, file_path string")
+    rows = [("class:A", "event:E", "emits_event"), ("class:A", "class:B", "extends"), ("class:A", "class:F", "dispatches_job"), ("class:A", "class:B", "binds_service"), ("class:A", "class:Gone", "implements"), ("class:S", "job:J", "dispatches_job")]
+    edges = spark.createDataFrame(rows, "src string, dst string, kind string")
+    symbols = spark.createDataFrame([(1, "class:S")], "plan long, symbol string")
+    got = {r.discriminator: (r.severity, r.confidence, r.paths, r.symbols) for r in plan.check_structural(planned, nodes, edges, symbols).collect()}
+    assert got == {
+        "node:event:E": ("warning", 0.6, [], ["event:E"]),
+        "app/B.php": ("info", 0.4, ["app/B.php"], []),
+        "node:class:Gone": ("info", 0.4, [], ["class:Gone"]),
+        "app/J.php": ("warning", 0.6, ["app/J.php"], []),
+    }
+
+
+def test_missing_tests_and_evidence(spark):
+    planned = spark.createDataFrame([(1, "app/A.php"), (1, "app/B.php"), (1, "tests/BTest.php"), (1, "app/C.php"), (1, "composer.lock")], "plan long, path string")
+    repo = spark.createDataFrame([("tests/ATest.php",), ("spec/ATest.php",)], "path string")
+    risk = spark.createDataFrame([("app/C.php", 0.7)], "path string, risk_score double")
+    base = F.regexp_extract("path", r"(\w+)\.php$", 1)
+    tests = F.array(F.concat(F.lit("tests/"), base, F.lit("Test.php")), F.concat(F.lit("spec/"), base, F.lit("Test.php")))
+    got = {r.discriminator: (r.severity, r.confidence, r.paths, r.suggested) for r in plan.check_missing_test(planned, repo, risk, tests, F.col("path").startswith("tests/")).collect()}
+    both = ["tests/ATest.php", "spec/ATest.php"]
+    assert got == {"app/A.php": ("warning", 0.8, both, both), "app/C.php": ("warning", 0.8, ["tests/CTest.php", "spec/CTest.php"], [])}
+    seven = spark.range(1).select(plan.capped(F.array(*[F.lit(str(i)) for i in range(7)])).alias("x")).first().x
+    assert seven == ["0", "1", "2", "3", "4", "...and 2 more"]
+    text = "word " * 20 + "needle" + " more" * 20
+    assert spark.range(1).select(plan.snippet(F.lit(text), F.lit("needle")).alias("x")).first().x == "word word word word word word needle more more more more more more"
+
+
+def test_chains_have_no_limit(spark):
+    links = spark.createDataFrame([(f"c{i + 1:03d}", f"c{i:03d}", i) for i in range(80)], "id string, target string, ts long")
+    assert reverts.chains(links).agg(F.max("step")).first()[0] == 80
