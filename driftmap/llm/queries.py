@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, fingerprint, langid, neardup, packing, pii, quality, suffix, tokenfile, toxicity
+from . import _common, bytebpe, fingerprint, langid, neardup, packing, pii, quality, suffix, tokenfile, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def clean(spark: SparkSession) -> None:
+    """Removes the tables and files that operators wrote so far."""
+    _common.clean(spark)
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 ids along walks over related ones."""
     return packing.pack(_docs(spark, sf_dir), vocabulary("word_bpe_49k.json"), 2, 4096)
