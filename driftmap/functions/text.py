@@ -54,7 +54,7 @@ NOISE_PATH = "|".join(
     ]
 )
 #: Scaffolding that tests share.
-FIXTURE_PATH = r"(?i)(?:^|/)(?:tests?/)" + any_of(["fixtures?", "support", "helpers?", "factories"]) + "/"
+FIXTURE_PATH = "^tests/" + any_of(["Fixtures/", "Factories/", r"TestCase\.php\z", r"ModelFactories\.php\z"])
 TEST_PATH = r"(?i)(?:^tests?/|/__tests__/|\." + any_of(["test", "spec"]) + r"\.[a-z]+\z|Test\.php\z)"
 
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmap.functions.text import NOISE_PATH, glob_swallow
+from driftmap.functions.text import NOISE_PATH, any_of, glob_swallow
+from driftmap.operators.graph import search
 
 CONFIDENCE = ("low", "medium", "high")
 #: From weakest to strongest.
@@ -67,32 +68,71 @@ def expand_co_change(anchors: DataFrame, matrix: DataFrame, min_coupling: float
     return claimed.select("prompt", "x.value", "x.parent", "x.coupling", "x.confidence", "x.place")
 
 
-def expand_graph(anchors: DataFrame, edges: DataFrame, kinds: list[str], per_anchor: int = 5) -> DataFrame:
-    """prompt, value, parent, edge_kind, confidence: symbols one edge away, either direction.
+#: Edges along which anchors grow.
+EXPAND_EDGES = tuple("controller_dispatches_job controller_uses_request dispatches_job emits_event extends implements listens_to_event observes_model route_to_controller".split())
+#: Symbols that are looked for even if no node has just that key.
+STRONG_SYMBOL = r"\\|::|" + any_of("Command Controller Event Job Listener Observer Policy Repository Request Resource Service Transformer".split()) + r"\z"
 
-    Here every anchor may claim, in order, so the pass is sequential within a prompt: the
-    candidates of a prompt, at most its anchors times their edges, go through it as one group.
+
+def graph_nodes(anchors: DataFrame, nodes: DataFrame) -> DataFrame:
+    """prompt, kind, value, confidence, ord, at: the node from which an anchor expands; anchors without one are left out.
+
+    A path's file counts whatever its confidence; if it defines a class, that class stands for it.
+    A symbol is the node of that key; a strong one may also be the best hit of a search, and
+    either then counts whatever its confidence. nodes: key, name, fqcn, and defines, the keys that
+    a file's node is tied to by a ``defines`` edge (null for others).
+    """
+    a = anchors.select("prompt", "kind", "value", "confidence", "ord")
+    # of more than three neighbours the three largest keys are looked at, and of these the smallest class
+    own = F.get(F.array_sort(F.filter(F.slice(F.sort_array("defines", asc=False), 1, 3), lambda k: k.startswith("class:"))), F.lit(0))
+    files = nodes.where(F.col("key").startswith("file:")).select(F.expr("substring(key, 6)").alias("value"), F.coalesce(own, "key").alias("at"))
+    paths = a.where("kind = 'path'").join(files, "value")
+    symbols = a.where("kind = 'symbol'")
+    exact = symbols.join(nodes.select(F.col("key").alias("value"), F.col("key").alias("at")), "value")
+    rest = symbols.join(nodes.select(F.col("key").alias("value")), "value", "left_anti").where(F.col("value").rlike(STRONG_SYMBOL))
+    hits = search(nodes, rest.select(F.col("value").alias("query")), 1).select(F.col("query").alias("value"), F.col("key").alias("at"))
+    return paths.unionByName(exact).unionByName(rest.join(hits, "value"))
+
+
+def expand_graph(anchors: DataFrame, nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = EXPAND_EDGES, per_anchor: int = 5) -> DataFrame:
+    """prompt, kind, value, parent, edge_kind, confidence: files and symbols one edge away, either direction.
+
+    Every anchor may claim, in order, what no anchor has and none before it claimed, so the pass
+    is sequential within a prompt; it sees at most ``per_anchor`` neighbours of each anchor
+    (those with most edges to it, of equals the larger keys). nodes: key, name, fqcn, file_path.
     """
-    e = edges.where(F.col("kind").isin(*kinds))
-    ends = e.select(F.col("src").alias("at"), F.col("dst").alias("to"), "kind").unionAll(e.select(F.col("dst").alias("at"), F.col("src").alias("to"), "kind"))
-    a = anchors.where(confidence_level(F.col("confidence")) >= 1).select("prompt", "ord", "confidence", F.when(F.col("kind") == "path", F.concat(F.lit("file:"), "value")).otherwise(F.col("value")).alias("at"))
-    cand = a.join(ends, "at").select("prompt", "ord", "at", "to", "kind", _weaker(F.col("confidence")).alias("confidence"))
-    cand = cand.join(a.select("prompt", F.col("at").alias("to")), ["prompt", "to"], "left_anti")
+    tied = edges.where("kind = 'defines'")
+    tied = tied.select(F.col("src").alias("key"), F.col("dst").alias("other")).unionAll(tied.select(F.col("dst").alias("key"), F.col("src").alias("other")))
+    tied = tied.where(F.col("key").startswith("file:")).groupBy("key").agg(F.collect_set("other").alias("defines"))
+    a = graph_nodes(anchors, nodes.join(tied, "key", "left"))
+    e = edges.where(F.col("kind").isin(*kinds)).select("src", "dst", "kind").distinct()
+    ends = e.select(F.col("src").alias("at"), F.col("dst").alias("to"), "kind").unionAll(e.where("src != dst").select(F.col("dst").alias("at"), F.col("src").alias("to"), "kind"))
+    near = ends.join(a.select("at").distinct(), "at", "left_semi")
+    degree = near.groupBy("at", "to").agg(F.count("*").alias("n"))
+    degree = degree.withColumn("r", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("n"), F.desc("to")))).where(F.col("r") <= per_anchor)
+    near = near.join(degree.select("at", "to"), ["at", "to"]).join(nodes.select(F.col("key").alias("to"), "file_path"), "to")
+    isfile = F.col("to").startswith("file:")
+    near = near.select("at", "to", "kind", F.when(isfile, "path").otherwise("symbol").alias("child"), F.when(isfile, F.coalesce("file_path", F.expr("substring(to, 6)"))).otherwise(F.col("to")).alias("found"))
+    near = near.where((F.col("child") != "path") | ~F.col("found").rlike(NOISE_PATH))
+    cand = a.select("prompt", "ord", "value", "at", _weaker(F.col("confidence")).alias("confidence")).join(near, "at")
+    have = anchors.select("prompt", F.col("kind").alias("child"), F.col("value").alias("found")).distinct()
+    cand = cand.join(have, ["prompt", "child", "found"], "left_anti")
 
     def claim(pdf):
-        taken: set[str] = set()
+        taken: set[tuple] = set()
         count: dict[tuple, int] = {}
         keep = []
-        pdf = pdf.sort_values(["ord", "at", "kind", "to"], kind="stable")
-        for i, (o, at, to) in enumerate(zip(pdf["ord"], pdf["at"], pdf["to"])):
-            if to not in taken and count.get((o, at), 0) < per_anchor:
-                taken.add(to)
-                count[o, at] = count.get((o, at), 0) + 1
+        pdf = pdf.sort_values(["ord", "value", "kind", "to"], kind="stable")
+        for i, (o, v, child, found) in enumerate(zip(pdf["ord"], pdf["value"], pdf["child"], pdf["found"])):
+            if (child, found) not in taken and count.get((o, v), 0) < per_anchor:
+                taken.add((child, found))
+                count[o, v] = count.get((o, v), 0) + 1
                 keep.append(i)
-        return pdf.iloc[keep][["prompt", "to", "at", "kind", "confidence"]].rename(columns={"to": "value", "at": "parent", "kind": "edge_kind"})
+        out = pdf.iloc[keep].rename(columns={"value": "parent", "kind": "edge_kind"})
+        return out.rename(columns={"child": "kind", "found": "value"})[["prompt", "kind", "value", "parent", "edge_kind", "confidence"]]
 
     t = dict(cand.dtypes)["prompt"]
-    return cand.groupBy("prompt").applyInPandas(claim, f"prompt {t}, value string, parent string, edge_kind string, confidence string")
+    return cand.groupBy("prompt").applyInPandas(claim, f"prompt {t}, kind string, value string, parent string, edge_kind string, confidence string")
 
 
 def dedup(anchors: DataFrame) -> DataFrame:

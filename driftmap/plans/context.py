@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from driftmap.functions import text
-from driftmap.operators import anchors, benchmark, cochange, complexity, graph, plan, render, retrieval
+from driftmap.operators import anchors, benchmark, cochange, complexity, extract, graph, plan, render, resolve, retrieval
 from driftmap.plans.bindings import AS_OF, DOC_EPOCH, commits1, graph as fk_graph, lexical_paths, sql, touches1, touches2
 from driftmap.plans.mining import TOP, VOLATILITY_SQL, matrix2, pairs_sql, risk1
 from driftmap.session import saved, table
@@ -217,10 +220,20 @@ def explicit_extract(spark, d):
 # --- pages
 
 
-@query("SELECT page_id, md5(array_to_string(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1), chr(10))) AS script_md5, len(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1)) AS blocks FROM pages")
+@F.pandas_udf(StringType())
+def _scripts(html: pd.Series) -> pd.Series:
+    return html.map(lambda h: extract.blocks(h, "script"), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def _page_route(path: pd.Series) -> pd.Series:
+    return path.map(extract.page_route, na_action="ignore")
+
+
+@query("SELECT page_id, md5(array_to_string(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1), chr(10))) AS script_md5 FROM pages")
 def sfc_blocks(spark, d):
-    b = F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*>(.*?)</script>"), 1)
-    return table(spark, d, "pages").select("page_id", F.md5(F.array_join(b, "\n")).alias("script_md5"), F.size(b).cast("long").alias("blocks"))
+    """Blocks of a page as the code scanner takes them."""
+    return table(spark, d, "pages").select("page_id", F.md5(_scripts("html")).alias("script_md5"))
 
 
 @query("SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)href=[\"'']([^\"'']+)', 1)) AS href FROM pages) GROUP BY 1, 2")
@@ -229,22 +242,18 @@ def page_links(spark, d):
     return table(spark, d, "pages").select("page_id", h).groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
-def _route(x):
-    r = F.regexp_replace(F.regexp_replace(x, r"^https?://[^/]+", ""), r"\.(?:vue|tsx?|html?)\z", "")
-    r = F.regexp_replace(F.regexp_replace(r, r"\[\.\.\.([A-Za-z0-9_]+)\]", ":$1*"), r"\[([A-Za-z0-9_]+)\]", ":$1")
-    r = F.regexp_replace(r, r"/index\z", "")
-    return F.when(r == "", "/").otherwise(r)
+_PAGES = "['orders/[id].vue', 'index.vue', 'shop/[...rest].tsx', '[lang]/about/index.vue', 'plain.html']"
 
 
 @query(
-    """SELECT page_id, CASE WHEN r = '' THEN '/' ELSE r END AS route FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^https?://[^/]+', ''), '\\.(?:vue|tsx?|html?)\\z', ''),
-    '\\[\\.\\.\\.([A-Za-z0-9_]+)\\]', ':\\1*', 'g'), '\\[([A-Za-z0-9_]+)\\]', ':\\1', 'g'), '/index\\z', '') AS r FROM
-    (SELECT page_id, CASE page_id % 3 WHEN 0 THEN url ELSE url || CASE page_id % 3 WHEN 1 THEN '/[id]/index.vue' ELSE '/[...rest].vue' END END AS x FROM pages))"""
+    f"""WITH x AS (SELECT page_id, CASE WHEN page_id % 7 = 3 THEN 'lib/' ELSE 'src/pages/' END || 'p' || page_id || '/' || {_PAGES}[page_id % 5 + 1] AS path FROM pages)
+    SELECT page_id, CASE WHEN starts_with(path, 'src/pages/') AND NOT suffix(path, '.html') THEN '/' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(path, 11), '\\.(vue|tsx)\\z', ''), '\\[\\.\\.\\.(\\w+)\\]', ':\\1*', 'g'), '\\[(\\w+)\\]', ':\\1', 'g'), '/index\\z', '') END AS route FROM x"""
 )
 def page_routes(spark, d):
-    m = F.col("page_id") % 3
-    x = F.when(m == 0, F.col("url")).when(m == 1, F.concat("url", F.lit("/[id]/index.vue"))).otherwise(F.concat("url", F.lit("/[...rest].vue")))
-    return table(spark, d, "pages").select("page_id", _route(x).alias("route"))
+    """Routes of files under pages/, as the code scanner makes them."""
+    forms = F.array(*map(F.lit, ["orders/[id].vue", "index.vue", "shop/[...rest].tsx", "[lang]/about/index.vue", "plain.html"]))
+    path = F.concat(F.when(F.col("page_id") % 7 == 3, "lib/").otherwise("src/pages/"), F.lit("p"), F.col("page_id").cast("string"), F.lit("/"), F.get(forms, (F.col("page_id") % 5).cast("int")))
+    return table(spark, d, "pages").select("page_id", _page_route(path).alias("route"))
 
 
 # --- graph
@@ -346,13 +355,18 @@ def expand_cochange(spark, d):
     return _expanded(spark, d).select("prompt", "value", "parent", F.col("place").cast("long").alias("place"), "confidence", F.round("coupling", 6).alias("coupling"))
 
 
-@query()
+@query(
+    """WITH n AS (SELECT c_nationkey AS prompt, c_custkey AS ord, 'customer:' || c_custkey AS parent, to_, kind FROM customer JOIN
+        (SELECT o_custkey AS k, 'order:' || o_orderkey AS to_, 'placed_by' AS kind FROM orders UNION ALL SELECT c_custkey, 'nation:' || c_nationkey, 'lives_in' FROM customer) ON k = c_custkey),
+    k AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY to_ DESC) AS r FROM n), c AS (SELECT *, row_number() OVER (PARTITION BY prompt, to_ ORDER BY ord) AS claim FROM k WHERE r <= 5)
+    SELECT prompt, 'symbol' AS kind, to_ AS value, parent, kind AS edge_kind, 'medium' AS confidence FROM c WHERE claim = 1"""
+)
 def expand_graph(spark, d):
-    _, e = fk_graph(spark, d)
-    c = table(spark, d, "customer")
+    """A prompt for each nation, whose customers are its anchors."""
+    nodes, edges = fk_graph(spark, d)
     key = F.concat(F.lit("customer:"), F.col("c_custkey").cast("string"))
-    a = c.select(F.col("c_nationkey").alias("prompt"), F.lit("symbol").alias("kind"), key.alias("value"), F.lit("high").alias("confidence"), F.col("c_custkey").alias("ord"))
-    return anchors.expand_graph(a, e, ["placed_by", "lives_in"])
+    a = table(spark, d, "customer").select(F.col("c_nationkey").alias("prompt"), F.lit("symbol").alias("kind"), key.alias("value"), F.lit("high").alias("confidence"), F.col("c_custkey").alias("ord"))
+    return anchors.expand_graph(a, nodes, edges, ("placed_by", "lives_in"))
 
 
 def _ranked(spark, d):
@@ -686,11 +700,69 @@ def _targets(spark, d):
     return touches1(spark, d).select(F.col("commit_id").alias("prompt"), "path").distinct()
 
 
-@query()
+_PARTS = sql("commits1 touches1 work1", VOLATILITY_SQL + " SELECT path, least(1.0, scaled) AS risk, churn, bug_density, ownership, recency FROM v")
+_CAUSES = "list_sort([{'w': -0.3::DOUBLE * bug_density, 'i': 0, 'said': 'high bug-fix density', 'v': bug_density}, {'w': -0.35::DOUBLE * churn, 'i': 1, 'said': 'high churn', 'v': churn}, {'w': -0.15::DOUBLE * ownership, 'i': 2, 'said': 'ownership spread', 'v': ownership}, {'w': -0.2::DOUBLE * recency, 'i': 3, 'said': 'recent activity', 'v': recency}])"
+
+
+def _reason_sql(both: str) -> str:
+    return f"CASE WHEN p[1].w >= 0 THEN 'historically volatile' WHEN {both} THEN p[1].said || ' and ' || p[2].said ELSE p[1].said END"
+
+
+_TARGETS = "tg AS (SELECT DISTINCT l_orderkey AS prompt, l_partkey AS path FROM lineitem)"
+_BLOCK = "SELECT prompt, '{0}' || chr(10) || string_agg(line, chr(10) ORDER BY place) AS block FROM (SELECT prompt, line, row_number() OVER (PARTITION BY prompt ORDER BY risk DESC, CAST(path AS VARCHAR)) AS place FROM tg JOIN ln USING (path)) WHERE place <= 3 GROUP BY 1"
+
+
+@query(
+    sql(
+        "touches1",
+        pairs_sql("touches1", 2, 0.05, 50)
+        + f""", {TOP}, {_TARGETS}, vp AS (SELECT path, risk, {_CAUSES} AS p FROM ({_PARTS})), {_REVERTS},
+        nb AS (SELECT anchor AS path, array_to_string(list(neighbor ORDER BY rank)[1:3], ', ') AS near FROM m WHERE rank <= 10 AND coupling >= 0.5 GROUP BY 1),
+        ln AS (SELECT path, coalesce(risk, 0) AS risk, '- `' || path || '` — ' || array_to_string(list_filter([CASE WHEN risk IS NOT NULL THEN 'risk ' || printf('%.2f', round(risk, 2)) || ', ' || {_reason_sql("p[2].w <= p[1].w * 0.8")} END,
+            'co-changes with ' || near, 'reverted ' || reverts || 'x'], lambda x: x IS NOT NULL), '; ') || '.' AS line FROM vp FULL JOIN nb USING (path) FULL JOIN rv USING (path) WHERE risk >= 0.4 OR near IS NOT NULL OR reverts >= 1)
+        {_BLOCK.format("## Historical Signals")}""",
+    )
+)
 def signals_block(spark, d):
     """What history says of the parts of each order, as text."""
     m = cochange.co_change(touches1(spark, d), min_joint=2, min_coupling=0.05, exclude=None)
-    return render.signals_block(_targets(spark, d), risk1(spark, d), m, _reverts(spark, d))
+    return render.signals_block(_targets(spark, d), saved(risk1(spark, d), "risk"), m, _reverts(spark, d))
+
+
+@query(
+    f"""WITH {_TARGETS}, vp AS (SELECT path, risk, {_CAUSES} AS p FROM ({_PARTS})), rs AS (SELECT path, risk, {_reason_sql("p[2].v >= 0.5 AND p[2].v >= p[1].v * 0.8")} AS why FROM vp WHERE risk >= 0.4),
+    ln AS (SELECT path, risk, '- `' || path || '` — risk ' || printf('%.2f', round(risk, 2)) || '. ' || upper(why[1]) || why[2:] || '.' AS line FROM rs) {_BLOCK.format("## Volatility")}"""
+)
+def volatility_block(spark, d):
+    return render.volatility_block(_targets(spark, d), saved(risk1(spark, d), "risk"))
+
+
+@query()
+def brief_block(spark, d):
+    """Files of each order with their complexity, and what history says of them."""
+    vol = saved(risk1(spark, d), "risk")
+    t = _targets(spark, d).withColumn("target_rank", F.row_number().over(Window.partitionBy("prompt").orderBy("path"))).where("target_rank <= 10")
+    m = cochange.co_change(touches1(spark, d), min_joint=2, min_coupling=0.05, exclude=None)
+    reverts_ = saved(_reverts(spark, d), "reverts")
+    return render.brief(saved(t, "targets"), complexity.profile(_files(spark, d), vol, reverts_), vol, m, reverts_)
+
+
+def repository(spark, d):
+    """What the driver's tables offer a resolver: part paths, document history and synonyms."""
+    return resolve.Repository(
+        files=saved(lexical_paths(spark, d), "files"),
+        docs=saved(_bm_docs(spark, d), "docs"),
+        touches=saved(_bm_touches(spark, d), "touches"),
+        groups=spark.createDataFrame(_SYNONYMS, "token string, grp int"),
+        stopwords=["part"],
+    )
+
+
+@query()
+def resolve_prompts(spark, d):
+    """Every part is a prompt, most of them comparing two subjects, resolved in one call."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("prompt"), F.expr(_FORM_SQL).alias("text"))
+    return resolve.resolve(p, repository(spark, d), "2024-01-01 00:00:00").select("prompt", "kind", "value", "source", "confidence", F.array_join("evidence", "|").alias("evidence"), "rank", "target_rank")
 
 
 @query()

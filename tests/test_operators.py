@@ -531,11 +531,11 @@ def test_budget_stops_at_first_overflow(spark):
 
 
 def test_signals_gate(spark):
-    t = spark.createDataFrame([("q", "a"), ("q", "b"), ("q", "tests/fixtures/c")], "prompt string, path string")
-    v = spark.createDataFrame([("a", 0.2), ("b", 0.6), ("tests/fixtures/c", 0.9)], "path string, risk_score double")
-    m = spark.createDataFrame([("a", "z", 0.5, 1)], "anchor string, neighbor string, coupling double, rank int")
+    t = spark.createDataFrame([("q", "a"), ("q", "b"), ("q", "tests/Fixtures/c")], "prompt string, path string")
+    v = spark.createDataFrame([(p, r, 1.0, 0.0, 0.0, 0.0) for p, r in (("a", 0.2), ("b", 0.6), ("tests/Fixtures/c", 0.9))], "path string, risk_score double, churn double, bug_density double, ownership double, recency double")
+    m = spark.createDataFrame([("a", "z", 0.49, 1)], "anchor string, neighbor string, coupling double, rank int")
     r = spark.createDataFrame([("zz", 1)], "path string, reverts long")
-    assert render.signals_block(t, v, m, r).first().block == "## What history says\n- b: risk 0.60"
+    assert render.signals_block(t, v, m, r).first().block == "## Historical Signals\n- `b` — risk 0.60, high churn."
     assert render.brief(t.withColumn("target_rank", F.lit(1)), spark.createDataFrame([("b", 3, "low")], "path string, lines int, risk string"), v, m, r).count() == 1
 
 
