@@ -8,6 +8,7 @@ library asks for one.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -70,6 +71,15 @@ def span_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (p[end] - p[start]) * powers(len(p))[1][start]
 
 
+def release() -> None:
+    """Gives memory that numpy, Arrow and the C library hold but don't use back to the system: a worker serves many stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def flat(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its n + 1 offsets; null is empty."""
     if not pa.types.is_string(arr.type):

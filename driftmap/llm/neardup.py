@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, U, flat, ids_of, materialize, mix, pieces, shingle_hashes, word_hashes
+from ._common import NO_ID, U, flat, ids_of, materialize, mix, pieces, release, shingle_hashes, word_hashes
 from .components import components
 
 _SEEDS = np.random.default_rng(7).integers(0, 2**64, 4096, dtype=np.uint64)
@@ -107,6 +107,7 @@ def _sketched(docs: DataFrame, k: int, bins: int, rows: int, more: str = "") ->
                     keys.append(band_keys(sketch(s, bins), rows).view(np.int64) if len(s) else None)
                 cols = [part.column(0), pa.array(ids_of(part.column(1))), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(packed, pa.binary()), *part.columns[3:]]
                 yield pa.RecordBatch.from_arrays(cols, [*_BASE, *part.schema.names[3:]])
+        release()
 
     return docs.mapInArrow(run, "row long, doc_id long, n_shingles long, cls binary, keys array<long>, packed binary" + more)
 
@@ -131,6 +132,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                 sets = list(sets_of(pa.array([unzip.decompress(p) for p in raw], pa.binary()).cast(pa.string()), k))
                 ok = [similar(sets[p], sets[q], percent) for p, q in zip(x, y)]
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()).filter(pa.array(ok)) for v in (pa_, pb)], ["u", "v"])
+        release()
 
     # a is the hot end (a bucket's smallest member), so its text joins last and is never shuffled along
     one = texts.select(F.col("node").alias("a"), F.col("packed").alias("pa"))

@@ -46,10 +46,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BYTE, BYTE2, U, flat, ids_back, ids_of, materialize, mix, pieces, prefix_hash, span_hash
+from ._common import BYTE, BYTE2, U, flat, ids_back, ids_of, materialize, mix, prefix_hash, release, span_hash
 
 #: Bytes of text that a task looks at in one go; copies are merged within a group of GROUP such pieces.
-PIECE, GROUP = 1 << 17, 192
+PIECE, GROUP = 1 << 17, 64
 #: Contexts of one seed that a task compares in memory.
 CONTEXTS = 4096
 
@@ -191,6 +191,8 @@ def _contexts(length: int, seed: int):
                 part = []
         if part:
             yield from combined(part)
+        part.clear()
+        release()
 
     return run
 
@@ -323,6 +325,7 @@ def _resolved(length: int):
             _, rest = _first_of(one, two, doc, row, at)
             if len(rest):
                 yield _found(1, *_spans(row[rest], at[rest], at[rest] + length))
+        release()
 
     return run
 
@@ -449,7 +452,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         import zstandard
 
         unzip = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             texts, hit = [], []
             for (raw, gone), null in zip(_each(b, unzip), b.column(4).to_pylist()):
                 hit.append(bool(gone.any()))
@@ -460,5 +463,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n = [len(t) if h else old for t, h, old in zip(texts, hit, cols[long_at].to_pylist())]
                 cols[long_at] = pa.array(n, pa.int64()).cast(cols[long_at].type)
             yield pa.RecordBatch.from_arrays(cols, names)
+        release()
 
     return _with_spans(keyed, length, seed, more).mapInArrow(run, docs.schema)
