@@ -62,8 +62,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate components on 4-word shingles."""
-    return neardup.near_duplicates(_docs(spark, sf_dir), words=4, percent=80)
+    """Near-duplicate components on 4-word shingles; the columns of its SQL."""
+    return neardup.near_duplicates(_docs(spark, sf_dir), words=4, percent=80).drop("first")
 
 
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
