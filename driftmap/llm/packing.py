@@ -3,13 +3,16 @@
 1. Every text is encoded and sketched: each shingle of ``SHINGLE`` words is hashed into one of
    ``BINS`` bins, and a bin keeps its smallest hash. The likeness of two documents is the share of
    equal bins among those that either fills, which estimates the likeness of their shingle sets.
-2. The graph is sought over the whole corpus, not in blocks. Every filled bin is a bucket, so two
-   documents with ``FLOOR`` equal bins meet in at least that many buckets. Buckets of one
-   document leave first. In a bucket, sorted by the bins after its own, every document is compared
-   with the next ``REACH``; it keeps its ``k`` best, and the best over all buckets are its
-   neighbours. A bucket of more than ``REACH`` + 1 documents thus leaves out far pairs of itself,
-   which meet in other buckets under another order; tests measure the recall. A bucket of more
-   than ``HOT`` documents is dealt out to several tasks.
+2. The graph is sought over the whole corpus, not in blocks, and it is exact: a document's
+   neighbours are its ``k`` best of all documents with ``FLOOR`` equal bins (or more than half of
+   few). Every filled bin is a bucket, and buckets of one document leave first. In a bucket, sorted
+   by the bins after its own, every document is compared with the next ``REACH``. That is every
+   pair of a bucket of up to ``REACH`` + 1 documents, so a pair that was not compared shares only
+   larger, hot buckets. For those a second pass looks: a document whose worst neighbour so far (or
+   the least likeness, if it has fewer than ``k``) is beaten by ``least`` equal bins asks in all
+   but the ``least`` - 1 largest of its hot buckets, where every better partner must meet it, and
+   is compared with all documents there that have ``least`` hot buckets of that size or more.
+   Hot buckets are dealt out, so each task holds ``HELD`` of their documents.
 3. Connected documents have one component. Components are laid one after the other and cut into
    blocks of about ``block_docs`` documents, so no task grows with the corpus; only a component
    larger than a block is cut. Walks need row numbers, lengths and links alone: texts and ids stay
@@ -40,8 +43,10 @@ from .components import components
 from .wordids import encoder
 
 SHINGLE, BINS, FLOOR = 3, 24, 3
-#: Documents of a bucket that each is compared with, and those of a bucket that go to one task.
+#: First pass: documents of a bucket that each is compared with, and those of a bucket that go to one task.
 REACH, HOT = 24, 1 << 16
+#: Second pass: documents of a hot bucket that a task holds, and those that ask them in one task.
+HELD, ASKING = 1 << 12, 1 << 16
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -130,16 +135,81 @@ def _compared(k: int):
     return run
 
 
+def _asked(k: int):
+    """Rows (key, part, turn, asks, row, least, sketch), sorted by bucket and those that ask last, to directed pairs a, b, score."""
+
+    def pairs(held: tuple[np.ndarray, ...], row: np.ndarray, least: np.ndarray, sk: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows, rest, other = held
+        columns = np.ascontiguousarray(other.T)
+        step = max(1, (1 << 20) // len(rows))
+        for i in range(0, len(row), step):
+            asking = sk[i : i + step]
+            mine = np.where(asking == 0, np.uint16(0xFFFF), asking)  # empty bins equal nothing
+            same = np.zeros((len(mine), len(rows)), dtype=np.uint8)
+            for c in range(BINS):
+                same += mine[:, c, None] == columns[c]
+            need = least[i : i + step, None]
+            x, y = np.nonzero((same >= need) & (rest >= need) & (row[i : i + step, None] != rows))
+            if not len(x):
+                continue
+            equal, score = likeness(asking[x], other[y])
+            ok = (equal >= FLOOR) | (score > 0.5)
+            a, b, score = row[i : i + step][x[ok]], rows[y[ok]], score[ok].astype(np.float32)
+            ok = _best(np.zeros(len(a), dtype=np.int64), a, b, score, k)
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(score[ok])], ["a", "b", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, part, turn, asks, row, least = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(6))
+            sk = np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype="<u2").reshape(-1, BINS)
+            new = (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (turn[1:] != turn[:-1]) | (asks[1:] != asks[:-1])
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(key)]
+            for i, j in zip(edges, edges[1:]):
+                if bucket != (key[i], part[i], turn[i]):
+                    bucket, held = (key[i], part[i], turn[i]), []
+                if not asks[i]:
+                    held.append((row[i:j], least[i:j], sk[i:j]))
+                elif held:
+                    held = [tuple(map(np.concatenate, zip(*held)))]
+                    yield from pairs(held[0], row[i:j], least[i:j], sk[i:j])
+
+    return run
+
+
+def _nearest(pairs: DataFrame, k: int) -> DataFrame:
+    """row, near: the ``k`` best of directed pairs a, b, score as structs (score, row), best first."""
+    best = pairs.groupBy("a").agg(F.sort_array(F.collect_set(F.struct("score", (-F.col("b")).alias("b"))), asc=False).alias("near"))
+    return best.select(F.col("a").alias("row"), F.expr(f"transform(slice(near, 1, {k}), x -> struct(x.score as score, -x.b as row))").alias("near"))
+
+
 def neighbours(base: DataFrame, k: int) -> DataFrame:
     """row, near: its at most ``k`` neighbours as structs (score, row), best first; base: row, keys (bins or null), sketch."""
     keys = base.select("row", F.posexplode("keys").alias("bin", "key")).where("key is not null")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = materialize(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     held = keys.join(sizes, "key").join(base.select("row", "sketch"), "row")
     held = held.select("key", F.expr(f"cast(pmod(row, 1 + size div {HOT}) as int)").alias("salt"), "row", "sketch", F.expr("substring(concat(sketch, sketch), 2 * bin + 3, 12)").alias("tail"))
     held = held.repartition("key", "salt").sortWithinPartitions("key", "salt", "tail", "row").select("key", "salt", "row", "sketch")
-    pairs = held.mapInArrow(_compared(k), "a long, b long, score float")
-    best = pairs.groupBy("a").agg(F.sort_array(F.collect_set(F.struct("score", (-F.col("b")).alias("b"))), asc=False).alias("near"))
-    return best.select(F.col("a").alias("row"), F.expr(f"transform(slice(near, 1, {k}), x -> struct(x.score as score, -x.b as row))").alias("near"))
+    first = materialize(_nearest(held.mapInArrow(_compared(k), "a long, b long, score float"), k), "nearest")
+
+    # second pass: what only hot buckets bring together; each document's hot buckets, smallest first
+    hot = keys.join(sizes.where(F.col("size") > REACH + 1), "key").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("size", "key"))).alias("hot"))
+    fill = F.expr("size(filter(keys, x -> x is not null))").alias("fill")
+    hot = hot.join(base.select("row", "sketch", fill), "row").join(first, "row", "left")
+    # a likeness above x takes more than x * fill equal bins
+    least = f"greatest(least({FLOOR}, fill div 2 + 1), if(size(near) >= {k}, floor(near[{k - 1}].score * fill + 1e-4) + 1, 0))"
+    hot = materialize(hot.select("row", "sketch", "hot", F.expr(f"cast({least} as int)").alias("least")), "hot")
+    asks = hot.where("size(hot) >= least").select("row", "sketch", "least", F.explode(F.expr("slice(hot, 1, size(hot) - least + 1)")).alias("x"))
+    asks = asks.select(F.col("x.key").alias("key"), F.explode(F.expr(f"sequence(0, x.size div {HELD})")).alias("part"), F.expr(f"pmod(row, 1 + x.size div {ASKING})").alias("turn"), F.lit(True).alias("asks"), "row", "least", "sketch")
+    there = hot.select("row", "sketch", F.size("hot").alias("n"), F.posexplode("hot").alias("place", "x"))
+    there = there.select(F.col("x.key").alias("key"), F.expr(f"pmod(row, 1 + x.size div {HELD})").alias("part"), F.explode(F.expr(f"sequence(0, x.size div {ASKING})")).alias("turn"), F.lit(False).alias("asks"), "row", F.expr("n - place").alias("least"), "sketch")
+    there = there.join(asks.select("key").distinct(), "key", "left_semi")
+    both = there.unionAll(asks).repartition("key", "part", "turn").sortWithinPartitions("key", "part", "turn", "asks", "row")
+    more = _nearest(both.mapInArrow(_asked(k), "a long, b long, score float"), k)
+    every = first.unionAll(more).select("row", F.explode("near").alias("x")).select(F.col("row").alias("a"), F.col("x.row").alias("b"), "x.score")
+    return _nearest(every, k)
 
 
 def neighbour_walk(links: list[dict[int, float]], tie: list[int]) -> list[int]:
