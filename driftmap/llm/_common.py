@@ -122,8 +122,13 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word (A-Z as a-z if ``lower``) and the rows' word offsets."""
     s, e, w = word_spans(data, off)
+    return span_hashes(data, s, e, lower), w
+
+
+def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = True) -> np.ndarray:
+    """The hash that ``word_hashes`` gives each word, from where the words are."""
     p = prefix_hash(data, BYTE_LOWER if lower else BYTE)
-    return mix(span_hash(p, s, e) + (e - s).astype(np.uint64)), w
+    return mix(span_hash(p, s, e) + (e - s).astype(np.uint64))
 
 
 def shingle_hashes(wh: np.ndarray, w: np.ndarray, k: int) -> list[np.ndarray]:

@@ -35,12 +35,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import U, flat, ids_back, ids_of, materialize, mix, pieces, word_hashes
+from ._common import U, flat, ids_back, ids_of, materialize, mix, pieces, release, span_hashes, word_hashes, word_spans
 from .components import components
-from .wordids import encoder
+from .wordids import word_table
 
 SHINGLE, BINS, FLOOR = 3, 24, 3
 #: First pass: documents of a bucket that each is compared with, and those of a bucket that go to one task.
@@ -52,8 +52,12 @@ _NONE = np.uint64(2**64 - 1)
 
 def sketches(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """For each row the smallest hash in every bin, or all ones where it is empty. A row with fewer than SHINGLE words has one shingle."""
-    wh, w = word_hashes(data, off)
-    n = len(off) - 1
+    return _sketches(*word_hashes(data, off))
+
+
+def _sketches(wh: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The same from the words' hashes and the rows' word offsets."""
+    n = len(w) - 1
     out = np.full(n * BINS, _NONE, dtype=np.uint64)
     row = np.repeat(np.arange(n), np.diff(w))
     if len(wh) >= SHINGLE:
@@ -130,7 +134,8 @@ def _compared(k: int):
             out = pairs(*new, fresh)
             if out is not None:
                 yield out
-            old = [x[-REACH:] for x in new]
+            old = [x[-REACH:].copy() for x in new]
+        release()
 
     return run
 
@@ -141,7 +146,7 @@ def _asked(k: int):
     def pairs(held: tuple[np.ndarray, ...], row: np.ndarray, least: np.ndarray, sk: np.ndarray) -> Iterator[pa.RecordBatch]:
         rows, rest, other = held
         columns = np.ascontiguousarray(other.T)
-        step = max(1, (1 << 20) // len(rows))
+        step = max(1, (1 << 18) // len(rows))
         for i in range(0, len(row), step):
             asking = sk[i : i + step]
             mine = np.where(asking == 0, np.uint16(0xFFFF), asking)  # empty bins equal nothing
@@ -152,7 +157,8 @@ def _asked(k: int):
             x, y = np.nonzero((same >= need) & (rest >= need) & (row[i : i + step, None] != rows))
             if not len(x):
                 continue
-            equal, score = likeness(asking[x], other[y])
+            scores = [likeness(asking[x[j : j + 65536]], other[y[j : j + 65536]]) for j in range(0, len(x), 65536)]
+            equal, score = (np.concatenate(c) for c in zip(*scores))
             ok = (equal >= FLOOR) | (score > 0.5)
             a, b, score = row[i : i + step][x[ok]], rows[y[ok]], score[ok].astype(np.float32)
             ok = _best(np.zeros(len(a), dtype=np.int64), a, b, score, k)
@@ -175,6 +181,7 @@ def _asked(k: int):
                 elif held:
                     held = [tuple(map(np.concatenate, zip(*held)))]
                     yield from pairs(held[0], row[i:j], least[i:j], sk[i:j])
+        release()
 
     return run
 
@@ -188,14 +195,14 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
 def neighbours(base: DataFrame, k: int) -> DataFrame:
     """row, near: its at most ``k`` neighbours as structs (score, row), best first; base: row, keys (bins or null), sketch."""
     keys = base.select("row", F.posexplode("keys").alias("bin", "key")).where("key is not null")
-    sizes = materialize(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    held = keys.join(sizes, "key").join(base.select("row", "sketch"), "row")
+    member = materialize(keys.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1"), "buckets")
+    held = member.join(base.select("row", "sketch"), "row")
     held = held.select("key", F.expr(f"cast(pmod(row, 1 + size div {HOT}) as int)").alias("salt"), "row", "sketch", F.expr("substring(concat(sketch, sketch), 2 * bin + 3, 12)").alias("tail"))
     held = held.repartition("key", "salt").sortWithinPartitions("key", "salt", "tail", "row").select("key", "salt", "row", "sketch")
     first = materialize(_nearest(held.mapInArrow(_compared(k), "a long, b long, score float"), k), "nearest")
 
     # second pass: what only hot buckets bring together; each document's hot buckets, smallest first
-    hot = keys.join(sizes.where(F.col("size") > REACH + 1), "key").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("size", "key"))).alias("hot"))
+    hot = member.where(F.col("size") > REACH + 1).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("size", "key"))).alias("hot"))
     fill = F.expr("size(filter(keys, x -> x is not null))").alias("fill")
     hot = hot.join(base.select("row", "sketch", fill), "row").join(first, "row", "left")
     # a likeness above x takes more than x * fill equal bins
@@ -208,8 +215,9 @@ def neighbours(base: DataFrame, k: int) -> DataFrame:
     there = there.join(asks.select("key").distinct(), "key", "left_semi")
     both = there.unionAll(asks).repartition("key", "part", "turn").sortWithinPartitions("key", "part", "turn", "asks", "row")
     more = _nearest(both.mapInArrow(_asked(k), "a long, b long, score float"), k)
-    every = first.unionAll(more).select("row", F.explode("near").alias("x")).select(F.col("row").alias("a"), F.col("x.row").alias("b"), "x.score")
-    return _nearest(every, k)
+    every = first.join(more.select("row", F.col("near").alias("more")), "row", "full")
+    every = every.select("row", F.expr("array_distinct(concat(coalesce(near, array()), coalesce(more, array())))").alias("near"))
+    return every.select("row", F.expr(f"transform(slice(sort_array(transform(near, x -> struct(x.score as score, -x.row as b)), false), 1, {k}), x -> struct(x.score as score, -x.b as row))").alias("near"))
 
 
 def neighbour_walk(links: list[dict[int, float]], tie: list[int]) -> list[int]:
@@ -251,20 +259,38 @@ def _encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        enc, zstd = encoder(vocabulary), zstandard.ZstdCompressor(level=1)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        table, zstd = word_table(vocabulary), zstandard.ZstdCompressor(level=1)
+        small = _small(table.size, end_id)
         for b in batches:
             ids = ids_of(b.column(1))
             data, off = flat(b.column(2))
+            out, size = [], 0
             for i, j in pieces(off, 1 << 17):
-                sk = sketches(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                raw = [enc.ids(t) + end for t in b.column(2).slice(i, j - i).to_pylist()]
-                packed = [zstd.compress(_narrow(r, enc.size, end_id)) for r in raw]
+                part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
+                s, e, w = word_spans(part, at)
+                wh = span_hashes(part, s, e)
+                sk = _sketches(wh, w)
+                if table.by_word:
+                    found, count = table.ids(part, s, e, wh)
+                    n = np.diff(np.concatenate([[0], np.cumsum(count)])[w])
+                else:
+                    raw = [table.encoder.ids(t) for t in b.column(2).slice(i, j - i).to_pylist()]
+                    found, n = np.frombuffer(b"".join(raw), dtype="<u4"), np.array([len(r) // 4 for r in raw])
+                ended = np.full(len(found) + j - i, end_id, dtype=small)
+                ended[np.arange(len(found)) + np.repeat(np.arange(j - i), n)] = found
+                n = n + 1
+                cut = np.concatenate([[0], np.cumsum(n)]).tolist()
+                packed = [zstd.compress(ended[x:y].tobytes()) for x, y in zip(cut, cut[1:])]
                 keys = pa.array(sk.ravel().view(np.int64), mask=(sk == _NONE).ravel())
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BINS), pa.int32()), keys)
-                cols = [b.column(0).slice(i, j - i), pa.array(ids[i:j]), pa.array([len(r) // 4 for r in raw], pa.int64()), keys]
+                cols = [b.column(0).slice(i, j - i), pa.array(ids[i:j]), pa.array(n, pa.int64()), keys]
                 cols += [pa.array([x.tobytes() for x in short(sk)], pa.binary()), pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n", "keys", "sketch", "ids"])
+                out.append(pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n", "keys", "sketch", "ids"]))
+                size += j - i
+                if size >= 1000 or j == b.num_rows:
+                    yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                    out, size = [], 0
+        release()
 
     return materialize(docs.mapInArrow(encode, "row long, doc_id long, n long, keys array<long>, sketch binary, ids binary"), "encoded")
 
@@ -296,6 +322,8 @@ def _laid(window: int):
         held = [b for b in batches if b.num_rows]
         if held:
             yield done(pa.Table.from_batches(held))
+        del held
+        release()
 
     return run
 
@@ -316,7 +344,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = 4096,
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unzip, small = zstandard.ZstdDecompressor(), _small(encoder(vocabulary).size, end_id)
+        unzip, small = zstandard.ZstdDecompressor(), _small(word_table(vocabulary).size, end_id)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         for b in batches:
             for i in range(0, b.num_rows, 256):
@@ -334,6 +362,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = 4096,
                 start, length, seq, offset = (part.column(c).flatten() for c in (3, 4, 5, 6))
                 cols = [ids_back(ids), start, length, pa.array(crc, pa.int64()), pa.array(n), seq, offset]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, pa.binary())] if keep_ids else cols, [*names, "ids"] if keep_ids else names)
+        release()
 
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * keep_ids
     return encoded.join(laid, "row").select("doc_id", "n", "ids", "starts", "lengths", "sequences", "offsets").mapInArrow(fill, ddl)
@@ -341,7 +370,3 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = 4096,
 
 def _small(size: int, end_id: int) -> np.dtype:
     return np.dtype("<u2") if max(size, end_id + 1) <= 1 << 16 else np.dtype("<u4")
-
-
-def _narrow(raw: bytes, size: int, end_id: int) -> bytes:
-    return np.frombuffer(raw, dtype="<u4").astype(_small(size, end_id)).tobytes()
