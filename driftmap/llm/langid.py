@@ -16,8 +16,8 @@ and a margin); ``lang_pred`` names the nearest language all the same.
 Every type of every training row stays in the model, so discounts, totals and continuation
 counts are those of the whole corpus. The model is sent to all executors and grows with the
 corpus' types: 8 bytes, and 4 for each language, for each type and each context of an order.
-Temperature and rejection are fitted on at most ``fit_rows`` ids; of rows with one id the smallest
-(lang, text) counts there, so runs agree. Null text, and text without a letter, is ``und`` with
+Temperature and rejection are fitted on every training row with a letter: each text is scored once,
+its mean log probabilities are written, and both passes read those. The percentile is exact. Null text, and text without a letter, is ``und`` with
 score 0; with no training rows every text is, and without rows the result is empty. A null doc_id
 is held in, as its remainder is unknown, and stays null. Rows with one id, and repeated rows, are
 each counted and each scored. Other columns are not looked at.
@@ -25,14 +25,15 @@ each counted and each scored. Other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import U, flat, pieces
+from ._common import U, flat, materialize, pieces
 
 N = 4
 SPACE = 32
@@ -163,18 +164,15 @@ class Model:
             size = np.maximum(np.bincount(row, minlength=n), 1)
             yield np.stack([np.bincount(row, lp[:, l], n) / size for l in range(lp.shape[1])], axis=1), letter
 
-    def predict(self, texts: pa.Array) -> list[pa.Array]:
-        name, score, entropy, rejected = [], [], [], []
-        for m, letter in self.mean_logp(texts):
-            best = m.argmax(axis=1)
-            z = (m - m.max(axis=1, keepdims=True)) * self.temperature
-            p = 1 / np.exp(z).sum(axis=1)
-            h = -m[np.arange(len(m)), best] / np.log(2)
-            name += [self.langs[b] if ok else "und" for b, ok in zip(best.tolist(), letter.tolist())]
-            score += np.where(letter, p, 0.0).tolist()
-            entropy += [x if ok else None for x, ok in zip(h.tolist(), letter.tolist())]
-            rejected += (~letter | (h > self.limit[best])).tolist()
-        return [pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected, pa.bool_())]
+    def predict(self, m: np.ndarray, letter: np.ndarray) -> list[pa.Array]:
+        """lang_pred, score, bits, rejected from the mean log probabilities."""
+        best = m.argmax(axis=1)
+        z = (m - m.max(axis=1, keepdims=True)) * self.temperature
+        p = 1 / np.exp(z).sum(axis=1)
+        h = -m[np.arange(len(m)), best] / np.log(2)
+        name = [self.langs[b] if ok else "und" for b, ok in zip(best.tolist(), letter.tolist())]
+        rejected = ~letter | (h > self.limit[best])
+        return [pa.array(name, pa.string()), pa.array(np.where(letter, p, 0.0)), pa.array(h, mask=~letter), pa.array(rejected)]
 
 
 def held_out(doc_id) -> F.Column:
@@ -213,8 +211,8 @@ def count_grams(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, fit_rows: int = 4000) -> Model | None:
-    """A model from doc_id, lang, text of the rows that are not held out."""
+def train(docs: DataFrame) -> Model | None:
+    """A model from doc_id, lang, text of the rows that are not held out, without temperature and limits."""
     rows = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     table = count_grams(rows).toArrow()
     if not table.num_rows:
@@ -227,51 +225,85 @@ def train(docs: DataFrame, fit_rows: int = 4000) -> Model | None:
         pick = np.flatnonzero(lang == name)
         pick = pick[np.argsort(g[pick])]
         counts.append((g[pick], c[pick]))
-    model = Model(langs, counts)
-    _calibrate(model, rows, fit_rows)
-    return model
+    return Model(langs, counts)
 
 
-def _calibrate(model: Model, rows: DataFrame, fit_rows: int) -> None:
-    """Temperature by the highest likelihood, limits by the percentile of each language's cross-entropy."""
-    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    few = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("m")).select("doc_id", "m.lang", "m.text")
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+#: Temperatures that are tried, and the percentile of a language's cross-entropy beyond which it is rejected.
+TEMPERATURES, WITHIN = 2.0 ** np.arange(-2, 5), 0.999
+
+
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, lang, letter, m (the languages' mean log probabilities); docs: doc_id, held_out, lang, text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
-            for m, letter in shared.value.mean_logp(b.column(1)):
-                names = b.column(0).slice(at, len(m))
+            for m, letter in shared.value.mean_logp(b.column(3)):
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(m.ravel()))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, len(m)) for c in range(3)), pa.array(letter), lists], ["doc_id", "held_out", "lang", "letter", "m"])
                 at += len(m)
-                keep = pa.array(letter)
-                yield pa.RecordBatch.from_arrays([names.filter(keep), pa.array(list(m), pa.list_(pa.float64())).filter(keep)], ["lang", "m"])
-
-    got = few.select("lang", "text").mapInArrow(run, "lang string, m array<double>").toArrow()
-    if got.num_rows:
-        m = np.array(got["m"].to_pylist())
-        y = np.array([model.langs.index(x) for x in got["lang"].to_pylist()])
-        z = m - m.max(axis=1, keepdims=True)
-        loss = [(-(z[np.arange(len(y)), y] * t - np.log(np.exp(z * t).sum(axis=1))).mean(), t) for t in 2.0 ** np.arange(-2, 5)]
-        model.temperature = float(min(loss)[1])
-        h = -m[np.arange(len(y)), y] / np.log(2)
-        for l in range(len(model.langs)):
-            own = h[y == l]
-            model.limit[l] = np.quantile(own, 0.999) + 0.5 if len(own) else np.inf
-    shared.unpersist()
-
-
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 4000) -> DataFrame:
+
+    return materialize(docs.select("doc_id", "held_out", "lang", "text").mapInArrow(run, "doc_id long, held_out boolean, lang string, letter boolean, m array<double>"), "scored")
+
+
+def _vectors(m: pa.Array) -> np.ndarray:
+    return m.flatten().to_numpy().reshape(len(m), -1)
+
+
+def calibrate(model: Model, scored: DataFrame) -> None:
+    """Temperature by the highest likelihood, limits by the percentile of each language's cross-entropy, over all training rows with a letter."""
+    langs = model.langs
+    own = scored.where("not held_out and letter and lang is not null").select("lang", "m")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            m, y = _vectors(b.column(1)), np.searchsorted(langs, b.column(0).to_pylist())
+            right = np.arange(len(y)), y
+            z = m - m.max(axis=1, keepdims=True)
+            loss = np.stack([np.log(np.exp(z * t).sum(axis=1)) - z[right] * t for t in TEMPERATURES], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, loss.size + 1, loss.shape[1]), pa.int32()), pa.array(loss.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(-m[right] / np.log(2)), lists], ["y", "h", "loss"])
+
+    each = materialize(own.mapInArrow(run, "y long, h double, loss array<double>"), "calibration")
+    # an approximate quantile, off by at most 2e-4 of a language's rows, lies well below the percentile
+    near = F.percentile_approx("h", WITHIN - 2e-3, 5000)
+    sums = [F.sum(F.col("loss")[i]).alias(f"t{i}") for i in range(len(TEMPERATURES))]
+    stats = each.groupBy("y").agg(F.count("*").alias("n"), near.alias("near"), *sums).collect()
+    if not stats:
+        return
+    total = [math.fsum(r[f"t{i}"] for r in stats) for i in range(len(TEMPERATURES))]
+    model.temperature = float(min(zip(total, TEMPERATURES))[1])
+    # only what lies above it is ranked, from the top; of a language of few rows, all
+    model.limit[:] = np.inf
+    bounds = each.sparkSession.createDataFrame([(r.y, r.n, r.near if r.n > 10_000 else -math.inf) for r in stats], "y long, n long, low double")
+    top = each.join(F.broadcast(bounds), "y").where("h >= low").select("y", "n", "h")
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.desc("h")))
+    # np.quantile's two neighbours: places floor and ceil of (n - 1) * WITHIN from below
+    place = F.expr(f"(n - 1) * {WITHIN}d")
+    two = top.select("y", "h", (F.col("n") - rank).alias("at"), place.alias("place")).where("at = floor(place) or at = ceil(place)")
+    for r in two.groupBy("y").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.first("place").alias("place")).collect():
+        model.limit[r.y] = r.lo + (r.hi - r.lo) * (r.place - math.floor(r.place)) + 0.5
+
+
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits (cross-entropy per character), rejected."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    model = train(docs, fit_rows)
-    out = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text")
+    model = train(docs)
+    out = docs.select("doc_id", held_out("doc_id").alias("held_out"), "lang", "text")
     if model is None:
         return out.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits"), F.lit(True).alias("rejected"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scored = _scored(out, model)
+    calibrate(model, scored)
+    # the tables of the model stay behind: the second pass needs names, temperature and limits
+    model.keys, model.logp, model.back = {}, {}, {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *shared.value.predict(b.column(2))], ["doc_id", "held_out", "lang_pred", "score", "bits", "rejected"])
+            if b.num_rows:
+                letter = b.column(2).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *model.predict(_vectors(b.column(3)), letter)], ["doc_id", "held_out", "lang_pred", "score", "bits", "rejected"])
 
-    return out.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, bits double, rejected boolean")
+    return scored.select("doc_id", "held_out", "letter", "m").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, bits double, rejected boolean")
