@@ -344,14 +344,15 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = 4096,
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unzip, small = zstandard.ZstdDecompressor(), _small(word_table(vocabulary).size, end_id)
+        unzip = zstandard.ZstdDecompressor()
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 count, crc, kept = [], [], []
-                for packed, starts, lengths in zip(part.column(2), part.column(3).to_pylist(), part.column(4).to_pylist()):
-                    raw = np.frombuffer(unzip.decompress(packed.as_buffer()), dtype=small).astype("<u4").tobytes()
+                for n, packed, starts, lengths in zip(part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist(), part.column(4).to_pylist()):
+                    raw = unzip.decompress(packed.as_buffer())
+                    raw = np.frombuffer(raw, dtype=f"<u{len(raw) // n}").astype("<u4").tobytes()
                     count.append(len(starts))
                     for s, m in zip(starts, lengths):
                         piece = raw[4 * s : 4 * (s + m)]
@@ -365,7 +366,9 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = 4096,
         release()
 
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * keep_ids
-    return encoded.join(laid, "row").select("doc_id", "n", "ids", "starts", "lengths", "sequences", "offsets").mapInArrow(fill, ddl)
+    out = encoded.join(laid, "row").select("doc_id", "n", "ids", "starts", "lengths", "sequences", "offsets").mapInArrow(fill, ddl)
+    # pieces are small: two partitions for each block, so that a write makes no crowd of small files
+    return out.coalesce(2 * blocks)
 
 
 def _small(size: int, end_id: int) -> np.dtype:
