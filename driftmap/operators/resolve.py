@@ -180,12 +180,15 @@ def resolve(prompts: DataFrame, repo: Repository, as_of: str, per_subject: int =
 
     A prompt that compares two subjects is resolved for each; the first gives its best
     ``per_subject`` anchors, the second its best that the first did not give, and what both gave
-    is ranked once more, without boosts. All others are ranked as they are.
+    is ranked once more, without boosts. All others are ranked as they are. What comes of a prompt
+    follows from its text alone, so each text and each subject is resolved once, however many
+    prompts have it.
     """
-    split = prompts.select("prompt", F.posexplode(text.subjects(F.col("text"))).alias("place", "s")).select("prompt", "place", F.col("s.text").alias("text"), F.struct("prompt", "place").alias("subject"))
-    split = saved(split, "split")
-    each = resolve_subjects(split.select(F.col("subject").alias("prompt"), "text"), repo, as_of, **ranking)
-    each = each.withColumn("place", F.col("prompt.place")).withColumn("prompt", F.col("prompt.prompt"))
+    prompts = saved(prompts.select("prompt", "text").distinct(), "prompts")
+    split = prompts.select("text").distinct().select(F.col("text").alias("prompt"), F.posexplode(text.subjects(F.col("text"))).alias("place", "s"))
+    split = saved(split.select("prompt", "place", F.col("s.text").alias("subject")), "split")
+    each = resolve_subjects(split.select(F.col("subject").alias("prompt"), F.col("subject").alias("text")).distinct(), repo, as_of, **ranking)
+    each = split.join(each.withColumnRenamed("prompt", "subject"), "subject").drop("subject")
     two = split.where("place = 1").select("prompt")
     show = ["prompt", "kind", "value", "source", "confidence", "evidence", "rank", "target_rank"]
     alone = each.join(two, "prompt", "left_anti").select(*show)
@@ -195,7 +198,8 @@ def resolve(prompts: DataFrame, repo: Repository, as_of: str, per_subject: int =
     second = pair.where("place = 1").join(first.select("prompt", "kind", "value"), ["prompt", "kind", "value"], "left_anti").withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_subject)
     merged = first.unionByName(second).withColumn("ord", (F.col("place") * 1000 + F.col("n")).cast("long"))
     again = anchors.rank(saved(merged.select("prompt", "kind", "value", "source", "confidence", F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"), F.coalesce("support", F.lit(0).cast("long")).alias("support"), "ord"), "merged"), **ranking)
-    return alone.unionByName(again.select(*show))
+    found = alone.unionByName(again.select(*show)).withColumnRenamed("prompt", "text")
+    return prompts.join(found, "text").select(*show)
 
 
 def is_test(path: Column) -> Column:

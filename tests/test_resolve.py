@@ -23,3 +23,18 @@ def test_boosts(spark):
     rules = [{"edgeKind": "calls", "whenPromptContains": ["Pay"], "multiplier": 9}]
     got = [round(r[0], 4) for r in d.select(resolve.boosts(*(F.col(c) for c in "wroi"), rules)).collect()]
     assert got == [round(1.4 * 1.5, 4), round(0.85 * 0.85, 4), 1.0, 1.5]
+
+
+def test_each_text_is_resolved_once(spark, monkeypatch):
+    """Prompts of one text share its resolution, and a subject that several texts have is resolved once."""
+    seen = []
+    real = resolve.resolve_subjects
+    monkeypatch.setattr(resolve, "resolve_subjects", lambda subjects, *a, **k: seen.append(subjects.count()) or real(subjects, *a, **k))
+    texts = ["the old cart totals vs the new order page", "the old cart totals"]
+    p = spark.createDataFrame([(i, texts[i % 2]) for i in range(40)] + [(40, None)], "prompt long, text string")
+    files = spark.createDataFrame([("app/CartTotals.php",), ("app/OrderPage.php",)], "path string")
+    got = {}
+    for r in resolve.resolve(p, resolve.Repository(files), "2024-01-01 00:00:00").collect():
+        got.setdefault(r.prompt, set()).add((r.kind, r.value, r.rank, r.target_rank))
+    assert seen[0] <= 3 and set(got) == set(range(40))
+    assert all(got[i] == got[i % 2] for i in got) and {v for _, v, _, _ in got[0]} == {"app/CartTotals.php", "app/OrderPage.php"} and {v for _, v, _, _ in got[1]} == {"app/CartTotals.php"}
