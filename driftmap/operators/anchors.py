@@ -54,10 +54,10 @@ def expand_co_change(anchors: DataFrame, matrix: DataFrame, min_coupling: float
     p = parents(anchors, most)
     m = matrix.where((F.col("coupling") >= min_coupling) & ~F.col("neighbor").rlike(NOISE_PATH)).select(F.col("anchor").alias("value"), "neighbor", "coupling", F.col("rank").alias("nrank"))
     cand = p.join(m, "value").select("prompt", "place", F.col("value").alias("parent"), _weaker(F.col("confidence")).alias("confidence"), F.col("neighbor").alias("value"), "coupling", "nrank")
-    claimed = anchors.where("kind = 'path'").select("prompt", "value").distinct()
-    cand = cand.join(claimed, ["prompt", "value"], "left_anti")
+    have = anchors.where("kind = 'path'").groupBy("prompt").agg(F.collect_set("value").alias("have"))
     row = F.struct("place", (-F.col("coupling")).alias("order"), "nrank", "value", "parent", "confidence", "coupling")
     groups = cand.groupBy("prompt").agg(F.array_sort(F.collect_list(row)).alias("c"))
+    groups = groups.join(have, "prompt", "left").select("prompt", F.filter("c", lambda x: ~F.coalesce(F.array_contains("have", x["value"]), F.lit(False))).alias("c"))
     none = F.filter("c", lambda x: F.lit(False))
 
     def claim(got: Column, x: Column) -> Column:
